@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import mixture, tokens
+from quern.llm import leaks, mixture, spans, tokens
 from quern.runtime import table
 
 
@@ -15,9 +15,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": lambda spark, folder: mixture.scarce(table(spark, folder, "mixture_stages"), table(spark, folder, "lane_plans")),
         "p2_shares": lambda spark, folder: mixture.shares(table(spark, folder, "mixture_stages"), table(spark, folder, "lane_plans")),
         "p2_blocks": lambda spark, folder: mixture.blocks(table(spark, folder, "mixture_stages"), table(spark, folder, "lane_plans")),
+        "p3_found": lambda spark, folder: leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_registry")).select("doc_id", "item_id"),
+        "p3_spans": lambda spark, folder: leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_registry")),
         "p6_budget": lambda spark, folder: tokens.budget(table(spark, folder, "documents")),
         "p7_ids": lambda spark, folder: tokens.encode(table(spark, folder, "documents")),
         "p8_containers": lambda spark, folder: tokens.containers(table(spark, folder, "documents")),
+        "p9_found": lambda spark, folder: spans.shared_pairs(table(spark, folder, "documents")),
+        "p9_spans": lambda spark, folder: spans.shared_spans(table(spark, folder, "documents")),
     }
 
 
