@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import leaks, mixture, pages, spans, tokens
+from quern.llm import encodings, leaks, mixture, pages, spans, tokens
 from quern.runtime import table
 
 
@@ -19,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_spans": lambda spark, folder: leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_registry")),
         "p4_found": lambda spark, folder: pages.chrome_lines(table(spark, folder, "extracted_pages")),
         "p4_bodies": lambda spark, folder: pages.bodies(table(spark, folder, "extracted_pages")),
+        "p5_found": lambda spark, folder: encodings.found(table(spark, folder, "clean_records")),
+        "p5_restored": lambda spark, folder: encodings.inspect(table(spark, folder, "clean_records")),
         "p6_budget": lambda spark, folder: tokens.budget(table(spark, folder, "documents")),
         "p7_ids": lambda spark, folder: tokens.encode(table(spark, folder, "documents")),
         "p8_containers": lambda spark, folder: tokens.containers(table(spark, folder, "documents")),
