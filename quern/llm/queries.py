@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import encodings, leaks, mixture, pages, spans, tokens
+from quern.llm import encodings, languages, leaks, mixture, pages, spans, tokens
 from quern.runtime import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": lambda spark, folder: languages.mislabelled(table(spark, folder, "documents")),
+        "p1_languages": lambda spark, folder: languages.label_languages(table(spark, folder, "documents")),
         "p2_found": lambda spark, folder: mixture.scarce(table(spark, folder, "mixture_stages"), table(spark, folder, "lane_plans")),
         "p2_shares": lambda spark, folder: mixture.shares(table(spark, folder, "mixture_stages"), table(spark, folder, "lane_plans")),
         "p2_blocks": lambda spark, folder: mixture.blocks(table(spark, folder, "mixture_stages"), table(spark, folder, "lane_plans")),
