@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    for name in ("text",):
+        importlib.import_module(f"quern.plans.{name}")
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
