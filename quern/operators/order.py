@@ -23,8 +23,7 @@ def running(rows: DataFrame, group: list[str], order: list[str], value: Column,
     starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
     within = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("_before", F.coalesce(F.sum("_value").over(within), F.lit(0)))
-    same = [keyed_col for keyed_col in (*group, "_part")]
-    return placed.join(starts, same).withColumn(into, F.col("_start") + F.col("_before")).drop("_part", "_value", "_start", "_before")
+    return placed.join(starts, [*group, "_part"]).withColumn(into, F.col("_start") + F.col("_before")).drop("_part", "_value", "_start", "_before")
 
 
 def next_fit(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
@@ -46,7 +45,7 @@ def next_fit(rows: DataFrame, group: str, order: str, size: str, budget: int) ->
                     number, used = number + 1, 0
                 state = (g, number, used + n)
                 bins.append(number)
-            yield batch.append_column("bin", pa.array(bins, pa.int32())) if hasattr(batch, "append_column") else pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, pa.int32())], [*batch.schema.names, "bin"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, pa.int32())], [*batch.schema.names, "bin"])
 
     return _by_group(rows, group, [group, order], [group, order, size], run)
 
@@ -83,8 +82,4 @@ def _by_group(rows: DataFrame, group: str, ordering, columns: list[str], run) ->
     narrow = rows.select(*columns)
     fields = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in columns)
     placed = narrow.repartition(group).sortWithinPartitions(*ordering).mapInArrow(run, f"{fields}, bin int")
-    return rows.join(placed.drop(size_of(columns)), columns[:2])
-
-
-def size_of(columns: list[str]) -> str:
-    return columns[2]
+    return rows.join(placed.drop(columns[2]), columns[:2])

@@ -101,10 +101,10 @@ _STEP_SQL = (
     _COMPILED_SQL
     + f""", now as (select c.run_id, c.ord, c.lane, c.effective_weight as w from compiled c),
 ramp as (select s.*, warmup_tokens // (sequence_length * {S.BATCH}) as warm, exists (select 1 from stage p where p.run_id = s.run_id and p.ord = s.ord - 1) as has_before from stage s),
-step as (select run_id, stage, ord, sequence_length, step, case when has_before and warmup_tokens > 0 and warm > 0 then least(1.0, (step - step_start) / warm::double) else 1.0 end as progress
+step as (select run_id, stage, ord, sequence_length, step, case when has_before and warmup_tokens > 0 and warm > 0 then least(1::double, (step - step_start) / warm::double) else 1::double end as progress
   from (select *, unnest(range(step_start, step_end)) as step from ramp)),
-own as (select step.run_id, stage, step.ord, sequence_length, step, lane, progress, w as w_now, 0.0 as w_before from step join now on now.run_id = step.run_id and now.ord = step.ord),
-before as (select step.run_id, stage, step.ord, sequence_length, step, lane, progress, 0.0 as w_now, w as w_before from step join now on now.run_id = step.run_id and now.ord = step.ord - 1 where progress < 1.0),
+own as (select step.run_id, stage, step.ord, sequence_length, step, lane, progress, w as w_now, 0::double as w_before from step join now on now.run_id = step.run_id and now.ord = step.ord),
+before as (select step.run_id, stage, step.ord, sequence_length, step, lane, progress, 0::double as w_now, w as w_before from step join now on now.run_id = step.run_id and now.ord = step.ord - 1 where progress < 1.0),
 weights as (select run_id, stage, ord, sequence_length, step, lane, case when max(progress) >= 1.0 then sum(w_now) else (1 - max(progress)) * sum(w_before) + max(progress) * sum(w_now) end as weight from (select * from own union all select * from before) group by all)"""
 )
 
@@ -114,19 +114,19 @@ def step_table(spark, folder) -> DataFrame:
     return S.at_steps(S.stage_mixtures(stages, lanes))
 
 
-@query("mix_5_mixture_at_step", _STEP_SQL + " select run_id, stage, lane, count(*) as steps, round(sum(weight), 4) as weight_sum, round(min(weight), 6) as low, round(max(weight), 6) as high from weights group by all")
+@query("mix_5_mixture_at_step", _STEP_SQL + " select run_id, stage, lane, count(*) as steps, round(sum(weight), 6) as weight_sum, round(min(weight), 6) as low, round(max(weight), 6) as high from weights group by all")
 def mixture_at_step(spark, folder):
     rows = step_table(spark, folder).select("run_id", "stage", F.inline("weights"))
-    return rows.groupBy("run_id", "stage", "lane").agg(F.count("*").alias("steps"), F.round(F.sum("weight"), 4).alias("weight_sum"), F.round(F.min("weight"), 6).alias("low"), F.round(F.max("weight"), 6).alias("high"))
+    return rows.groupBy("run_id", "stage", "lane").agg(F.count("*").alias("steps"), F.round(F.sum("weight"), 6).alias("weight_sum"), F.round(F.min("weight"), 6).alias("low"), F.round(F.max("weight"), 6).alias("high"))
 
 
-@query("jon_9_mixture_change", _COMPILED_SQL + ", pair as (select c.run_id, c.ord, c.lane, c.effective_weight as w, 0.0 as v from compiled c union all select run_id, ord + 1, lane, 0.0, effective_weight from compiled) select p.run_id, s.stage, lane, round(sum(w) - sum(v), 6) as change from pair p join stage s on s.run_id = p.run_id and s.ord = p.ord where p.ord > 1 group by all")
+@query("jon_9_mixture_change", _COMPILED_SQL + ", pair as (select c.run_id, c.ord, c.lane, c.effective_weight as w, 0::double as v from compiled c union all select run_id, ord + 1, lane, 0::double, effective_weight from compiled) select p.run_id, s.stage, lane, round(sum(w) - sum(v), 9) as change from pair p join stage s on s.run_id = p.run_id and s.ord = p.ord where p.ord > 1 group by all")
 def mixture_change(spark, folder):
     stages, lanes = compiled(spark, folder)
     now = lanes.select("run_id", "ord", "lane", F.col("effective_weight").alias("w"))
     before = lanes.select("run_id", (F.col("ord") + 1).alias("ord"), "lane", F.col("effective_weight").alias("v"))
     both = now.join(before, ["run_id", "ord", "lane"], "full_outer").filter("ord > 1")
-    return both.join(stages.select("run_id", "ord", "stage"), ["run_id", "ord"]).select("run_id", "stage", "lane", F.round(F.coalesce("w", F.lit(0.0)) - F.coalesce("v", F.lit(0.0)), 6).alias("change"))
+    return both.join(stages.select("run_id", "ord", "stage"), ["run_id", "ord"]).select("run_id", "stage", "lane", F.round(F.coalesce("w", F.lit(0.0)) - F.coalesce("v", F.lit(0.0)), 9).alias("change"))
 
 
 _SLOT_SQL = (
