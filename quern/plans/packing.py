@@ -256,7 +256,7 @@ def shards_of_samples(spark, folder):
     return rows.select("step", "slot", F.array_join(F.array_distinct(F.col("s.shard_id")), ",").alias("shards"))
 
 
-@query("jon_21_attention_pairs", _PACK_SQL + " select step, slot, sum((w_end - w_start) * (w_end - w_start + 1) // 2)::bigint as pairs from seg2 where step < 4 group by all")
+@query("jon_21_attention_pairs", _PACK_SQL + " select step, slot, sum((w_end - w_start) * (w_end - w_start + 1) // 2)::bigint as pairs from seg2 group by all")
 def attention_pairs(spark, folder):
     """Pairs of positions that may see each other (same segment, not ahead), counted without making them."""
-    return packed(spark, folder).filter("step < 4").groupBy("step", "slot").agg(F.sum(F.expr("(w_end - w_start) * (w_end - w_start + 1) div 2")).alias("pairs"))
+    return packed(spark, folder).groupBy("step", "slot").agg(F.sum(F.expr("(w_end - w_start) * (w_end - w_start + 1) div 2")).alias("pairs"))

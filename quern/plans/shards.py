@@ -15,7 +15,7 @@ BUDGET = 100_000
 
 _LANE_SQL = "case when lang in (" + ", ".join(f"'{x}'" for x in T.INDIC) + ") then 'indic' when domain in ('code', 'qa') then 'code' when domain in ('math', 'science') then 'math_science' when domain = 'instruction' then 'instruction' else 'general_web' end"
 _CORPUS_SQL = f"corpus as (select *, {_LANE_SQL} as lane, 'sha256:' || sha256(text) as content_hash from ({_DOCS_SQL}) where text <> '')"
-_REGISTRY_SQL = "registry as (select distinct content_hash, benchmark_id, never_train from eval_registry union all select 'sha256:' || sha256(text), 'holdout-copy', true from corpus where doc_id % 97 = 0)"
+_REGISTRY_SQL = "registry as (select distinct content_hash, benchmark_id, never_train from eval_registry union all select 'sha256:' || sha256(text), 'holdout-copy', true from corpus where source = 'oddments')"
 _KEYS_SQL = f"with {_CORPUS_SQL}, {_REGISTRY_SQL}"
 
 
@@ -26,7 +26,7 @@ def hashed_corpus(spark, folder) -> DataFrame:
 def registry(spark, folder) -> DataFrame:
     """Held-out hashes: the registry's, and texts of the corpus registered as held out beside them."""
     own = table(spark, folder, "eval_registry").select("content_hash", "benchmark_id", "never_train").distinct()
-    held = hashed_corpus(spark, folder).filter("doc_id % 97 = 0").select("content_hash", F.lit("holdout-copy").alias("benchmark_id"), F.lit(True).alias("never_train"))
+    held = hashed_corpus(spark, folder).filter("source = 'oddments'").select("content_hash", F.lit("holdout-copy").alias("benchmark_id"), F.lit(True).alias("never_train"))
     return own.unionByName(held)
 
 
@@ -98,12 +98,12 @@ def append(stored: DataFrame, new: DataFrame, key: list[str], content: str) -> D
 
 @query(
     "snk_4_idempotent_append",
-    """with s as (select content_hash, min(benchmark_id) as benchmark_id from eval_registry where item_id % 2 = 0 group by 1), n as (select content_hash, min(benchmark_id) as benchmark_id from eval_registry group by 1)
+    """with s as (select content_hash, min(benchmark_id) as benchmark_id from eval_registry where benchmark_id = 'toy-holdout' group by 1), n as (select content_hash, min(benchmark_id) as benchmark_id from eval_registry group by 1)
 select content_hash, benchmark_id from n where content_hash not in (select content_hash from s)""",
 )
 def idempotent_append(spark, folder):
     items = table(spark, folder, "eval_registry")
-    stored = items.filter("item_id % 2 = 0").groupBy("content_hash").agg(F.min("benchmark_id").alias("benchmark_id"))
+    stored = items.filter("benchmark_id = 'toy-holdout'").groupBy("content_hash").agg(F.min("benchmark_id").alias("benchmark_id"))
     new = items.groupBy("content_hash").agg(F.min("benchmark_id").alias("benchmark_id"))
     return append(stored, new, ["content_hash"], "benchmark_id")
 

@@ -414,3 +414,10 @@ def ghost_sums(spark, folder):
 def fertility(spark, folder):
     rows = table(spark, folder, "documents").filter("text is not null")
     return rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("tokens"), F.sum(T.faithful_units(F.col("text"))).alias("units")).withColumn("ratio", F.round(F.try_divide("tokens", "units"), 6))
+
+
+@query("str_16_tag_tree")
+def tag_tree(spark, folder):
+    from quern.functions.tree import tree_content
+
+    return table(spark, folder, "extracted_pages").select("id", T.without_boilerplate(tree_content("text")).alias("value"))
