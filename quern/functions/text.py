@@ -128,7 +128,10 @@ def cleaned(canon: Column, kind: Column) -> Column:
 
 
 def script_counts(text: Column) -> dict[str, Column]:
-    return {name: F.regexp_count(text, F.lit(rf"[\x{{{low}}}-\x{{{high}}}]")) for name, (low, high) in SCRIPTS.items()}
+    """Characters of each script; texts without any Indic character are counted for Latin only."""
+    indic = text.rlike(r"[\x{0900}-\x{0D7F}]")
+    count = {name: F.regexp_count(text, F.lit(rf"[\x{{{low}}}-\x{{{high}}}]")) for name, (low, high) in SCRIPTS.items()}
+    return {name: n if name == "latin" else F.when(indic, n).otherwise(0) for name, n in count.items()}
 
 
 def dominant(counts: dict[str, Column]) -> Column:

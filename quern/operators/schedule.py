@@ -88,7 +88,11 @@ def stage_mixtures(stages: DataFrame, compiled: DataFrame) -> DataFrame:
 def at_steps(mixed: DataFrame, batch: int = BATCH) -> DataFrame:
     """One row a step with its mixture: in the warm-up of a stage a linear ramp from the stage before."""
     warm = F.floor(F.col("warmup_tokens") / (F.col("sequence_length") * batch))
-    rows = mixed.filter("step_end > step_start").select("*", F.explode(F.sequence("step_start", F.col("step_end") - 1)).alias("step"))
+    # the stages are few and small, their steps many: stages are dealt out first, so the steps of no run are one task
+    parallel = mixed.sparkSession.sparkContext.defaultParallelism
+    blocks = F.explode(F.sequence("step_start", F.col("step_end") - 1, F.lit(256).cast("bigint"))).alias("first")
+    dealt = mixed.filter("step_end > step_start").select("*", blocks).repartition(4 * parallel)
+    rows = dealt.select("*", F.explode(F.sequence("first", F.least(F.col("first") + 255, F.col("step_end") - 1))).alias("step")).drop("first")
     ramps = F.col("mixture_before").isNotNull() & (F.col("warmup_tokens") > 0) & (warm > 0)
     progress = F.when(ramps, F.least(F.lit(1.0), (F.col("step") - F.col("step_start")) / warm)).otherwise(F.lit(1.0))
     lanes = F.array_sort(F.array_union(F.map_keys("mixture_now"), F.coalesce(F.map_keys("mixture_before"), F.array().cast("array<string>"))))
@@ -107,21 +111,26 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(float(2**64))
 
 
-def pick(weights: Column, draw: Column) -> Column:
-    """The lane (in order of names) whose part of the cumulated positive weights holds ``draw`` of their sum."""
+def cumulated(weights: Column) -> Column:
+    """``sum, lanes ARRAY<STRUCT<upto, lane>>``: running sums of the positive weights, in order of lanes."""
     positive = F.filter(weights, lambda w: w["weight"] > 0)
-    total = F.aggregate(positive, F.lit(0.0), lambda a, w: a + w["weight"])
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("string").alias("lane"))
-    threshold = draw * total
-    found = F.aggregate(
+    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<struct<upto:double,lane:string>>").alias("lanes"))
+    return F.aggregate(
         positive,
         start,
-        lambda a, w: F.struct((a["sum"] + w["weight"]).alias("sum"), F.coalesce(a["lane"], F.when(threshold < a["sum"] + w["weight"], w["lane"])).alias("lane")),
-    )["lane"]
-    return F.coalesce(found, F.try_element_at(positive, F.lit(-1))["lane"])
+        lambda a, w: F.struct((a["sum"] + w["weight"]).alias("sum"), F.concat(a["lanes"], F.array(F.struct((a["sum"] + w["weight"]).alias("upto"), w["lane"].alias("lane")))).alias("lanes")),
+    )
+
+
+def pick(sums: Column, draw: Column) -> Column:
+    """The lane whose part of the running sums holds ``draw`` of the total; the last one at the very end."""
+    threshold = draw * sums["sum"]
+    inside = F.filter(sums["lanes"], lambda x: threshold < x["upto"])
+    return F.coalesce(F.get(inside, F.lit(0))["lane"], F.try_element_at(sums["lanes"], F.lit(-1))["lane"])
 
 
 def slots(at_step: DataFrame, seed: str, batch: int = BATCH) -> DataFrame:
     """Lane of each (step, slot); computed from the step alone, so any step can be asked for by itself."""
-    rows = at_step.select("run_id", "stage", "ord", "step", "sequence_length", "weights", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))).alias("slot"))
-    return rows.withColumn("lane", pick(F.col("weights"), uniform(F.lit(seed), F.lit("lane"), F.col("step"), F.col("slot")))).drop("weights")
+    steps_ = at_step.select("run_id", "stage", "ord", "step", "sequence_length", cumulated(F.col("weights")).alias("sums"))
+    rows = steps_.select("*", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))).alias("slot"))
+    return rows.withColumn("lane", pick(F.col("sums"), uniform(F.lit(seed), F.lit("lane"), F.col("step"), F.col("slot")))).drop("sums")
