@@ -19,8 +19,8 @@ from quern.runtime import ship
 
 LANGUAGES = labels.LANGUAGES
 #: The field is fitted on at most so many labelled rows a language, and at most so many characters of each.
-SAMPLE_ROWS = 240
-SAMPLE_CHARS = 3000
+SAMPLE_ROWS = 200
+SAMPLE_CHARS = 2000
 BINS = 1 << 16
 GRAMS = 4
 #: A document's set holds the languages of at least this share of its letters; texts of fewer letters have none.
@@ -128,7 +128,7 @@ def potentials(scores: np.ndarray) -> np.ndarray:
     return np.exp(np.clip(scores - scores.max(axis=-1, keepdims=True), -30, 0)).astype("f4")
 
 
-def fit(rows: list[tuple[str, str]], seed: int = 11, epochs: int = 3) -> Field:
+def fit(rows: list[tuple[str, str]], seed: int = 11, epochs: int = 2) -> Field:
     """Field of labelled texts (language, text); some labels may be wrong.
 
     Texts are cut into stretches that are joined, in about half of the training sequences, to code-switched ones. After
