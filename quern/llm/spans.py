@@ -19,6 +19,10 @@ from quern.runtime import materialise, ship
 LEAST = 400
 #: Blocks held by more texts than this are no shard: their texts are matched by all their spans of LEAST characters.
 HOT = 64
+#: A long text is so many characters of several shards.
+STRETCH = 32_768
+#: Rows of one group that one task pairs with all others of it.
+BLOCK = 1024
 _CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -218,11 +222,24 @@ def _merged(starts: np.ndarray, before: int, after: int, n: int) -> list[tuple[i
     return [(a, b) for a, b in out]
 
 
+def paired(rows: DataFrame, group: list[str], key: str) -> DataFrame:
+    """Pairs (less, greater) of the keys of each group whose size is ``c``.
+
+    Used where the pairs themselves are the result. A large group is dealt out: each of its rows is a partner in one
+    block of about BLOCK rows and is sent to all blocks, so no task pairs a whole group.
+    """
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    left = rows.select(*group, F.col(key).alias("_a"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"))
+    right = rows.select(*group, F.col(key).alias("_b"), F.pmod(F.xxhash64(key), blocks).cast("int").alias("_block"))
+    return left.join(right, [*group, "_block"]).filter("_a < _b").select("_a", "_b")
+
+
 class Shared:
     """Shared spans of a table of documents.
 
     ``copies``: ``doc_id, rep, n`` of each document of at least ``least`` characters (``rep`` is the least id with
-    exactly its text). ``links``: ``a, b, start_a, start_b, n`` of spans between representatives of different texts.
+    exactly its text). ``links``: ``a, b, start_a, start_b, n`` of spans between representatives of different texts; ``hot_pairs`` and
+    ``hot_spans`` are those of passages that more than ``hot`` texts hold.
     """
 
     def __init__(self, documents: DataFrame, least: int = LEAST, hot: int = HOT):
@@ -266,7 +283,9 @@ class Shared:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, keys, starts)], ["doc_id", "key", "start"])
 
         keyed = materialise(texts.mapInArrow(blocks, "doc_id bigint, key bigint, start int"), "blocks")
-        held = keyed.groupBy("key", "doc_id").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("shard")).filter("c > 1")
+        # a block's texts meet in the shard of its least text, by places of STRETCH characters of that text
+        held = keyed.groupBy("key", "doc_id").agg(F.min("start").alias("start")).groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start")).alias("first")).filter("c > 1")
+        held = held.select("key", "c", F.xxhash64("first.doc_id", F.floor(F.col("first.start") / STRETCH)).alias("shard"))
         placed = keyed.join(held, "key")
         cold = placed.filter(F.col("c") <= hot).groupBy("shard", "doc_id").agg(F.collect_set("start").alias("starts"))
 
@@ -327,25 +346,27 @@ class Shared:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, h1, h2, at_all)], ["doc_id", "h1", "h2", "start"])
 
         hot_starts = placed.filter(F.col("c") > hot).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-        spans = hot_starts.join(texts.select("doc_id", "text"), "doc_id").mapInArrow(windows, "doc_id bigint, h1 bigint, h2 bigint, start int").groupBy("h1", "h2", "doc_id").agg(F.min("start").alias("start"))
-        left = spans.select("h1", "h2", F.col("doc_id").alias("a"), F.col("start").alias("start_a"))
-        right = spans.select("h1", "h2", F.col("doc_id").alias("b"), F.col("start").alias("start_b"))
-        hot_links = left.join(right, ["h1", "h2"]).filter("a < b").select("a", "b", "start_a", "start_b", F.lit(least).alias("n"))
-        self.links = links.unionByName(hot_links)
+        found = hot_starts.join(texts.select("doc_id", "text"), "doc_id").mapInArrow(windows, "doc_id bigint, h1 bigint, h2 bigint, start int").groupBy("h1", "h2", "doc_id").agg(F.min("start").alias("start"))
+        found = materialise(found, "windows")
+        groups = found.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("docs")).filter("c > 1")
+        self.links = links
+        self.hot_spans = found.join(groups, ["h1", "h2"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("start").alias("s"), (F.col("start") + least).alias("e"))
+        # the windows of one passage have the same texts: one of them is enough for their pairs
+        one = groups.groupBy("c", "docs").agg(F.min(F.struct("h1", "h2")).alias("w")).select("w.h1", "w.h2", "c")
+        self.hot_pairs = paired(found.join(one, ["h1", "h2"]), ["h1", "h2"], "doc_id").toDF("a", "b")
 
     def pairs(self) -> DataFrame:
         """``doc_a, doc_b`` (``doc_a < doc_b``) of all documents that share a span, copies included."""
         members = self.copies.select("doc_id", "rep")
         x, y = members.select(F.col("doc_id").alias("x"), F.col("rep").alias("a")), members.select(F.col("doc_id").alias("y"), F.col("rep").alias("b"))
-        between = self.links.select("a", "b").distinct().join(x, "a").join(y, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
-        many = members.groupBy("rep").count().filter("count > 1").select("rep")
-        several = members.join(many, "rep")
-        within = several.select("rep", F.col("doc_id").alias("doc_a")).join(several.select("rep", F.col("doc_id").alias("doc_b")), "rep").filter("doc_a < doc_b").select("doc_a", "doc_b")
+        between = self.links.select("a", "b").unionByName(self.hot_pairs).distinct().join(x, "a").join(y, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+        many = members.groupBy("rep").agg(F.count("*").alias("c")).filter("c > 1")
+        within = paired(members.join(many, "rep"), ["rep"], "doc_id").toDF("doc_a", "doc_b")
         return between.unionByName(within)
 
     def coverage(self) -> DataFrame:
         """``doc_id, n_chars, shared_chars, share, spans ARRAY<STRUCT<start, end>>`` of each document that shares a span."""
-        ends = self.links.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("n")).alias("e")), F.struct(F.col("b").alias("rep"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("n")).alias("e")))).alias("x")).select("x.*").distinct()
+        ends = self.links.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("n")).alias("e")), F.struct(F.col("b").alias("rep"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("n")).alias("e")))).alias("x")).select("x.*").unionByName(self.hot_spans).distinct()
         many = self.copies.groupBy("rep").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter("c > 1").select("rep", F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))
         order = Window.partitionBy("rep").orderBy("s", "e")
         before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -12,7 +12,7 @@ from quern.runtime import materialise, ship
 
 TOKENIZER = "byte_bpe_50k"
 #: Ranks within one length are counted in this many slices, so a length that many rows share is no single task.
-SLICES = 64
+SLICES = 256
 
 
 def encode(documents: DataFrame, tokenizer: str = TOKENIZER, folder: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
