@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    for name in ("text", "shards", "schedule", "packing", "learning", "vectors", "fertility", "files"):
+    for name in ("text", "shards", "schedule", "packing", "learning", "vectors", "fertility", "files", "extras"):
         importlib.import_module(f"quern.plans.{name}")
 
 
