@@ -7,6 +7,7 @@ left (titles, subheadings, list items, short notes) the label of the nearest dec
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,12 +63,17 @@ _LINK = re.compile("|".join(sorted((re.escape(x).replace(r"\#", r"[\d.,]+").repl
 _LINKS_ONLY = re.compile(rf"(?:(?<!\w)(?:{_LINK.pattern})(?!\w)[\s!☰≡×✕|·•/»›>,]*)+")
 _TEASER = re.compile(TEASERS + r"\s*:?")
 _NOTICE = re.compile(NOTICES)
+# A part of each phrase of NOTICES; a line without any of them is no notice.
+_SIGNS = tuple(
+    "©|(c)|rights reserved|rechte vorbehalten|droits réservés|derechos reservados|सर्वाधिकार|powered by|foundation|cookie|kies|privacy|partners|pages are used|agree to our|privatsphäre|stimmen sie|acceptez|respectons|acepta|privacidad|कुकीज़|गोपनीयता|get our|inbox|sign up|subscribe|join |postfach|rundbrief|newsletter|recevez|inscrivez|abonnez|reciba|suscríbase|साप्ताहिक|…|...|tags|topics|keywords|schlagwörter|themen|mots-clés|étiquettes|etiquetas|temas|विषय|टैग".split("|")
+)
 _INSIDE = re.compile(INSIDE)
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,200}>")
 _MARKER = re.compile(r"^\s*(\d{1,3}[.)]|[*•·–-])\s+")
 _JOINT = re.compile(r"\s[|·•/»›>]\s|\t|\s{3,}")
 _SENTENCE = re.compile(r"[.!?।؟。][\"'”’»)\]]*(?=\s|$)")
-_WORD = re.compile(r"[^\s\d.,;:!?()\[\]\"“”„«»¿¡’'…|·•/<>*#–—-]+")
+#: Characters from which on a line is no list of links and no heading.
+_LONG = 400
 
 GOOD, BAD, TEASER, AD, OPEN = "main", "chrome", "teaser", "advertising", "open"
 
@@ -80,12 +86,13 @@ def decide(line: str) -> str:
     low = " ".join(raw.casefold().split())
     if _INSIDE.fullmatch(low):
         return AD
-    if _NOTICE.search(low):
-        return BAD
-    if _TEASER.fullmatch(low):
-        return TEASER
-    if _LINKS_ONLY.fullmatch(low.lstrip("☰≡×✕ ")):
+    if any(sign in low for sign in _SIGNS) and _NOTICE.search(low):
         return BAD
+    if len(low) < _LONG:
+        if _TEASER.fullmatch(low):
+            return TEASER
+        if _LINKS_ONLY.fullmatch(low.lstrip("☰≡×✕ ")):
+            return BAD
     raw = _MARKER.sub("", raw)
     sentences = len(_SENTENCE.findall(raw))
     parts = [p for p in _JOINT.split(raw) if p.strip()]
@@ -94,8 +101,8 @@ def decide(line: str) -> str:
         links = sum(_LINKS_ONLY.fullmatch(" ".join(p.casefold().split())) is not None for p in parts)
         if links * 2 >= len(parts) or (len(parts) >= 3 and short == len(parts) and not sentences):
             return BAD  # link density
-    words = _WORD.findall(low)
-    dense = sum(w in STOP_WORDS for w in words) >= 0.15 * len(words)
+    words = low.split()
+    dense = sum(map(STOP_WORDS.__contains__, words)) >= 0.15 * len(words)
     if sentences and dense and len(words) >= 8:
         return GOOD
     if dense and len(words) >= 40:
@@ -103,12 +110,17 @@ def decide(line: str) -> str:
     return OPEN
 
 
+@lru_cache(maxsize=50_000)
+def _decided(line: str) -> str:
+    return decide(line)
+
+
 def chrome(text: str | None) -> list[int]:
     """Numbers (from 0, lines split at ``\\n``) of the lines that aren't blank and don't belong to the main body."""
     if not text:
         return []
     lines = [(n, line) for n, line in enumerate(text.split("\n")) if line.strip()]
-    first = [decide(line) for _, line in lines]
+    first = [_decided(line) if len(line) < 120 else decide(line) for _, line in lines]
     count = len(first)
     above, below = [None] * count, [None] * count
     last = None
