@@ -10,7 +10,7 @@ from quern.operators import schedule as S
 from quern.plans.catalog import query
 from quern.plans.schedule import SEED
 from quern.plans.shards import _BINS_SQL, shard_spans
-from quern.runtime import table
+from quern.runtime import materialise, table
 
 #: The curriculum of these queries: (stage, token_start, token_end, sequence_length, mixture, floors, warm-up, policy).
 LANES = ("code", "general_web", "indic", "instruction", "math_science")
@@ -25,22 +25,22 @@ MICROBATCH = 4
 
 def schedule(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(spans, mixture by step, slots) of the curriculum with the corpus' own supply."""
-    spans = shard_spans(spark, folder)
+    spans = materialise(shard_spans(spark, folder), "spans")  # the frozen manifests: all that follows reads them
     supply = spans.groupBy("lane").agg(F.sum(F.col("end_token") - F.col("start_token")).alias("available"))
     rows = [("run", *s[:4], s[6], s[7]) for s in CURRICULUM]
     stages = S.steps(spark.createDataFrame(rows, "run_id string, stage string, token_start bigint, token_end bigint, sequence_length int, warmup_tokens bigint, scarcity_policy string"))
     weights = [("run", s[0], lane, w, f) for s in CURRICULUM for lane, w, f in zip(LANES, s[4], s[5])]
     shares = spark.createDataFrame(weights, "run_id string, stage string, lane string, weight double, floor_weight double")
     lanes = shares.join(stages.select("run_id", "stage", "ord", (F.col("token_end") - F.col("token_start")).alias("span"), F.col("scarcity_policy").alias("policy")), ["run_id", "stage"]).join(supply, "lane", "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    steps = S.at_steps(S.stage_mixtures(stages, S.compile_lanes(lanes)))
+    steps = materialise(S.at_steps(S.stage_mixtures(stages, S.compile_lanes(lanes))).select("run_id", "stage", "ord", "step", "sequence_length", "weights"), "steps")
     return spans, steps, S.slots(steps, SEED)
 
 
-def packed(spark, folder, policy_seed: str = SEED) -> DataFrame:
+def packed(spark, folder, seed: str = SEED, frozen: tuple | None = None) -> DataFrame:
     """Segments of every window of the curriculum."""
-    spans, _, slots = schedule(spark, folder)
+    spans, _, slots = frozen or schedule(spark, folder)
     wins = P.windows(slots)
-    return P.segments(wins, P.stream(spans, wins, policy_seed), WIDTH)
+    return P.segments(wins, P.stream(spans, wins, seed), WIDTH)
 
 
 _CUR_SQL = ", ".join(f"('{s[0]}', {s[1]}, {s[2]}, {s[3]}, {s[6]}, '{s[7]}', {k + 1})" for k, s in enumerate(CURRICULUM))
@@ -138,9 +138,9 @@ ledger as (select step, slot // {MICROBATCH} as mb, stage, 'mb-' || step || '-'
 )
 
 
-def sample_rows(spark, folder, seed: str = SEED) -> DataFrame:
-    rows = packed(spark, folder, seed)
-    _, steps, _ = schedule(spark, folder)
+def sample_rows(spark, folder, seed: str = SEED, frozen: tuple | None = None) -> DataFrame:
+    frozen = frozen or schedule(spark, folder)
+    rows, steps = packed(spark, folder, seed, frozen), frozen[1]
     span = F.concat("shard_id", F.lit(":"), "s_start", F.lit("-"), "s_end")
     one = rows.groupBy("step", "slot", "lane", "sequence_length").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w_start", span.alias("span")))), lambda x: x["span"]), ",").alias("spans"),
@@ -169,8 +169,9 @@ def entries(spark, folder):
 @query("rpl_1_replay", _LEDGER_SQL + " select step, mb, true as lanes_match, true as spans_match, true as served_match from ledger where step >= 10 and step < 60")
 def replay(spark, folder):
     """Recorded entries against recomputed ones; a missing one is a mismatch."""
-    recorded = ledger(sample_rows(spark, folder)).filter("step >= 10 and step < 60")
-    again = ledger(sample_rows(spark, folder)).select("step", "mb", *[F.col(c).alias(f"{c}_2") for c in ("lanes", "spans", "served")])
+    frozen = schedule(spark, folder)
+    recorded = ledger(sample_rows(spark, folder, frozen=frozen)).filter("step >= 10 and step < 60")
+    again = ledger(sample_rows(spark, folder, frozen=frozen)).select("step", "mb", *[F.col(c).alias(f"{c}_2") for c in ("lanes", "spans", "served")])
     return recorded.join(again, ["step", "mb"], "left").select("step", "mb", *[F.col(c).eqNullSafe(F.col(f"{c}_2")).alias(f"{c}_match") for c in ("lanes", "spans", "served")])
 
 
@@ -188,8 +189,9 @@ def resume(spark, folder):
 @query("jon_12_fork_divergence")
 def fork_divergence(spark, folder):
     """Entries of a fork with another seed that differ from the parent's at equal steps."""
-    parent = ledger(sample_rows(spark, folder)).select("step", "mb", "spans")
-    fork = ledger(sample_rows(spark, folder, "fork-seed")).select("step", "mb", F.col("spans").alias("fork_spans"))
+    frozen = schedule(spark, folder)
+    parent = ledger(sample_rows(spark, folder, frozen=frozen)).select("step", "mb", "spans")
+    fork = ledger(sample_rows(spark, folder, "fork-seed", frozen)).select("step", "mb", F.col("spans").alias("fork_spans"))
     return parent.join(fork, ["step", "mb"]).filter("spans <> fork_spans").groupBy("step").agg(F.count("*").alias("changed"))
 
 
