@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.plans.catalog import query
-from quern.runtime import table
+from quern.runtime import spread, table
 
 # --- SQL of the column functions, for DuckDB -------------------------------------------------------------------------
 
@@ -79,7 +79,7 @@ def clean_table(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     Null and empty texts give an empty record of type ``prose``.
     """
     raw = F.coalesce("text", F.lit(""))
-    staged = documents.withColumn("raw", raw).withColumn("content_type", T.content_type(F.col("raw"))).withColumn("canon", T.canonical(F.col("raw")))
+    staged = spread(documents.withColumn("raw", raw)).withColumn("content_type", T.content_type(F.col("raw"))).withColumn("canon", T.canonical(F.col("raw")))
     done = staged.withColumn("clean_text", T.cleaned(F.col("canon"), F.col("content_type")))
     counts = T.script_counts(F.col("clean_text"))
     return done.select(

@@ -49,6 +49,15 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if it has far fewer partitions than there are cores (a single small file).
+
+    Tables of many files or row groups stay as they are, so nothing shuffles at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
