@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import labels
-from quern.runtime import ship
+from quern.runtime import ship, spread
 
 LANGUAGES = labels.LANGUAGES
 #: The field is fitted on at most so many labelled rows a language, and at most so many characters of each.
@@ -372,7 +372,7 @@ def label_languages(documents: DataFrame, field: Field | None = None) -> DataFra
                 rows.append((doc, LANGUAGES[found[0][0]], found[0][2], letters, [{"lang": LANGUAGES[k], "share": s, "confidence": c} for k, s, c in found], parts))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(6)], schema=schema)
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, language string, confidence double, letters bigint, languages array<struct<lang:string,share:double,confidence:double>>, segments {SEGMENTS}")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id bigint, language string, confidence double, letters bigint, languages array<struct<lang:string,share:double,confidence:double>>, segments {SEGMENTS}")
 
 
 def mislabelled(documents: DataFrame, field: Field | None = None) -> DataFrame:

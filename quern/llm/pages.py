@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import ship
+from quern.runtime import ship, spread
 
 # Frequent function words of English, German, French, Spanish and Hindi.
 STOP_WORDS = frozenset(
@@ -161,7 +161,7 @@ def _by_lines(pages: DataFrame, extra: str, build):
             kind = pa.int64() if extra.endswith("bigint") else pa.string()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(rest, kind)], ["id", extra.split()[0]])
 
-    return pages.filter("id is not null and text is not null").select("id", "text").mapInArrow(run, f"id string, {extra}").distinct()
+    return spread(pages.filter("id is not null and text is not null").select("id", "text")).mapInArrow(run, f"id string, {extra}").distinct()
 
 
 def chrome_lines(pages: DataFrame) -> DataFrame:

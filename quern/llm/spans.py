@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.runtime import materialise, ship
+from quern.runtime import materialise, ship, spread
 
 LEAST = 400
 #: Blocks held by more texts than this are no shard: their texts are matched by all their spans of LEAST characters.
@@ -259,7 +259,7 @@ class Shared:
                 values = pa.array((np.concatenate(found) if found else np.zeros(0, "u8")).view("i8"))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, halves), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "h1", "h2", "n", "anchors"])
 
-        marked = materialise(long.mapInArrow(find, "doc_id bigint, h1 bigint, h2 bigint, n bigint, anchors array<bigint>"), "anchors")
+        marked = materialise(spread(long).mapInArrow(find, "doc_id bigint, h1 bigint, h2 bigint, n bigint, anchors array<bigint>"), "anchors")
         first = marked.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
         self.copies = marked.select("doc_id", "h1", "h2", "n").join(first, ["h1", "h2"]).select("doc_id", "rep", "n")
         own = marked.join(first.select(F.col("rep").alias("doc_id")), "doc_id").select("doc_id", F.explode("anchors").alias("anchor"))

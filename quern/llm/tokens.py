@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, labels
-from quern.runtime import materialise, ship
+from quern.runtime import materialise, ship, spread
 
 TOKENIZER = "byte_bpe_50k"
 #: Ranks within one length are counted in this many slices, so a length that many rows share is no single task.
@@ -34,7 +34,7 @@ def encode(documents: DataFrame, tokenizer: str = TOKENIZER, folder: str | None
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["k", "ids"])
 
     kind = documents.schema[key].dataType.simpleString()
-    return documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
+    return spread(documents.select(F.col(key).alias("k"), F.col(text).alias("t"))).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
 def count(documents: DataFrame, tokenizer: str = TOKENIZER, folder: str | None = None, text: str = "text", into: str = "n_tokens") -> DataFrame:
@@ -50,7 +50,7 @@ def count(documents: DataFrame, tokenizer: str = TOKENIZER, folder: str | None =
             counts = pa.array([model.count(x.as_py()) for x in batch.column(len(kept))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], counts], [*kept, into])
 
-    return documents.select(*[F.col(f"`{c}`") for c in kept], F.col(text)).mapInArrow(run, f"{fields}{', ' if fields else ''}`{into}` bigint")
+    return spread(documents.select(*[F.col(f"`{c}`") for c in kept], F.col(text))).mapInArrow(run, f"{fields}{', ' if fields else ''}`{into}` bigint")
 
 
 def budget(documents: DataFrame, tokenizer: str = TOKENIZER, folder: str | None = None) -> DataFrame:
