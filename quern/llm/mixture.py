@@ -138,6 +138,47 @@ def blocks(stages: DataFrame, lanes: DataFrame) -> DataFrame:
     return mix(stages, lanes).select("run_id", "stage", "lane", F.inline("slots")).select("run_id", "stage", "slot", "lane", "block_no", "release", "deadline", "served")
 
 
+def repeats(documents: DataFrame, stages: DataFrame, cap: int = 4) -> DataFrame:
+    """How often each document is taken so that lanes reach their mean share over all stages.
+
+    ``doc_id, lane, n_tokens, repeats``. A lane's repeat factor is its share of the corpus' tokens over its own tokens,
+    ``cap`` at most; a document is taken as often as the factor's whole part says, and once more if a number drawn from
+    its id is below the fraction, so shares come out without an order over documents. Tokens are those of byte mode (UTF-8
+    bytes of the trimmed text and an end); documents without text, without lane, or of a lane in no mixture are taken 0
+    times. Only totals of lanes, a row each, go to all tasks.
+    """
+    relative = (
+        stages.filter("run_id is not null and stage is not null and mixture is not null")
+        .groupBy("run_id", "stage")
+        .agg(F.max(F.array_sort(F.map_entries("mixture"))).alias("m"))
+        .select("run_id", "stage", F.aggregate("m", F.lit(0.0), lambda a, e: a + e["value"]).alias("total"), F.explode("m").alias("e"))
+        .select("run_id", "stage", slug(F.col("e.key"), "_").alias("lane"), F.try_divide(F.col("e.value"), F.col("total")).alias("w"))
+    )
+    count = relative.select("run_id", "stage").distinct().agg(F.count("*").alias("stages"))  # one row
+    target = relative.groupBy("lane").agg(F.sum("w").alias("w")).join(F.broadcast(count), how="cross").select("lane", (F.col("w") / F.col("stages")).alias("share"))
+    text = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    sized = documents.select("doc_id", slug(F.col("capability_lane"), "_").alias("lane"), F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.octet_length(text) + 1).cast("bigint").alias("n_tokens"))
+    have = sized.filter("n_tokens > 0 and lane is not null").groupBy("lane").agg(F.sum("n_tokens").alias("have"))
+    everything = have.agg(F.sum("have").alias("all"))  # one row
+    factor = have.join(target, "lane").join(F.broadcast(everything), how="cross").select("lane", F.least(F.lit(float(cap)), F.col("share") * F.col("all") / F.col("have")).alias("f"))  # a row a lane
+    draw = F.conv(F.substring(F.sha2(F.concat(F.lit("repeat:"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    taken = F.floor("f") + (draw < F.col("f") - F.floor("f")).cast("int")
+    rows = sized.join(factor, "lane", "left")
+    return rows.select("doc_id", "lane", "n_tokens", F.when(F.col("n_tokens") > 0, F.coalesce(taken, F.lit(0))).otherwise(0).cast("int").alias("repeats"))
+
+
+REPEATS_SQL = r"""
+with m as (select distinct run_id, stage, mixture from mixture_stages where run_id is not null and stage is not null and mixture is not null),
+r as (select run_id, stage, unnest(map_keys(mixture)) as lane, unnest(map_values(mixture)) / list_sum(map_values(mixture)) as w from m),
+target as (select lane, sum(w) / (select count(*) from m) as share from r group by 1),
+trimmed as (select doc_id, capability_lane, coalesce(regexp_replace(text, '^[\s\p{Z}\x{85}\x0b]+|[\s\p{Z}\x{85}\x0b]+$', '', 'g'), '') as text from documents),
+sized as (select doc_id, regexp_replace(trim(lower(capability_lane)), '[\s_-]+', '_', 'g') as lane, case when text = '' then 0 else strlen(text) + 1 end as n_tokens from trimmed),
+have as (select lane, sum(n_tokens) as have from sized where n_tokens > 0 and lane is not null group by 1),
+f as (select lane, least(4.0::double, share * (select sum(have) from have) / have) as f from have join target using (lane))
+select doc_id, s.lane, n_tokens, (case when n_tokens > 0 and f is not null then floor(f) + (('0x' || substring(sha256('repeat:' || doc_id), 1, 8))::ubigint::double / 4294967296.0 < f - floor(f))::int else 0 end)::int as repeats
+from sized s left join f using (lane)
+"""
+
 _LANES_SQL = """
 with stage as (
   select distinct run_id, stage, token_end - token_start as span, max_repeat as cap, unnest(map_entries(mixture)) as e

@@ -124,6 +124,30 @@ def test_scarce_lanes(spark):
     assert mixture.mix(s.limit(0), p).count() == 0
 
 
+def test_repeats(spark):
+    rows = [(k, "abc" * 10, "clash", None, None, lane) for k, lane in enumerate(["code"] * 300 + ["Indic "] * 30 + ["other", None])] + [(900, None, None, None, None, "code"), (901, " ", None, None, None, "code")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, repeats string, source string, domain string, capability_lane string")
+    s = stages(spark, [("r", "s", 0, 10, {"code": 1.0, "indic": 1.0}, 1)])
+    got = mixture.repeats(table, s, cap=4).collect()
+    assert len(got) == len(rows)
+    assert {r.repeats for r in got if r.lane == "indic"} == {4}
+    assert {r.repeats for r in got if r.lane in ("other", None) or r.n_tokens == 0} == {0}
+    assert 110 < sum(r.repeats for r in got if r.lane == "code") < 220
+    assert mixture.repeats(table.limit(0), s).count() == 0
+
+
+def test_rows_without_ids(spark, field):
+    text = "some words of a text " * 30
+    rows = spark.createDataFrame([(None, text), (1, text), (None, None)], "doc_id bigint, text string").selectExpr("*", "'en' lang", "'web' domain", "'s' source", "'code' capability_lane")
+    assert tokens.encode(rows).count() == 3 and tokens.containers(rows).count() >= 3
+    assert tokens.budget(rows).filter("level = 'all'").first().n_docs == 3
+    assert languages.label_languages(rows, field).count() == 3
+    assert languages.mislabelled(rows, field).filter("doc_id is null").count() == 0
+    registry = spark.createDataFrame([(None, "some words of a text some words"), (3, "some words of a text some words of")], "item_id bigint, text string")
+    assert {r.item_id for r in leaks.leaks(rows, registry).collect()} == {3}
+    assert spans.shared_pairs(rows, 64).filter("doc_a is null or doc_b is null").count() == 0
+
+
 def test_pfair_deviates_by_less_than_a_block():
     rng = random.Random(1)
     for _ in range(40):
