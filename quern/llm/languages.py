@@ -337,14 +337,14 @@ def sample(documents: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str
 SEGMENTS = "array<struct<start:int,end:int,lang:string,confidence:double>>"
 
 
-def label_languages(documents: DataFrame, field: Field | None = None) -> DataFrame:
+def label_languages(documents: DataFrame, field: Field | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Languages of each document.
 
     ``doc_id, language, confidence, letters, languages ARRAY<STRUCT<lang, share, confidence>>, segments ARRAY<STRUCT<start,
     end, lang, confidence>>``. ``language`` is that of most letters, whatever the labels say; texts without words (null,
     empty, numbers only) have a NULL language and no segments. ``start`` and ``end`` are offsets in the text; a document
     in one language is one segment. Whole texts are read, of any length; repeated rows give repeated results; ties go
-    to the language listed first; other columns are ignored. One pass without a shuffle, after the field was fitted on
+    to the language listed first; the string columns in ``keep`` come along, others are ignored. One pass without a shuffle, after the field was fitted on
     a bounded sample (``SAMPLE_ROWS`` a language); a table without labelled texts leaves all languages equally likely.
     """
     spark = documents.sparkSession
@@ -370,19 +370,22 @@ def label_languages(documents: DataFrame, field: Field | None = None) -> DataFra
                 else:
                     parts = [{"start": a, "end": b, "lang": LANGUAGES[k], "confidence": c} for a, b, k, c in segments(text, labelled)]
                 rows.append((doc, LANGUAGES[found[0][0]], found[0][2], letters, [{"lang": LANGUAGES[k], "share": s, "confidence": c} for k, s, c in found], parts))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(6)], schema=schema)
+            made = [pa.array([r[i] for r in rows], schema.field(i).type) for i in range(6)]
+            yield pa.RecordBatch.from_arrays([*made, *batch.columns[2:]], [*schema.names, *keep])
 
-    return spread(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id bigint, language string, confidence double, letters bigint, languages array<struct<lang:string,share:double,confidence:double>>, segments {SEGMENTS}")
+    fields = "".join(f", `{c}` string" for c in keep)
+    return spread(documents.select("doc_id", "text", *keep)).mapInArrow(run, f"doc_id bigint, language string, confidence double, letters bigint, languages array<struct<lang:string,share:double,confidence:double>>, segments {SEGMENTS}{fields}")
 
 
 def mislabelled(documents: DataFrame, field: Field | None = None) -> DataFrame:
     """``doc_id, lang``: the languages (at least ``SHARE`` of the letters) of documents whose label names others.
 
     A label may be spelled in any way; null, empty and placeholder labels name no language. Documents of the domain
-    ``code`` and texts of fewer than ``LEAST_LETTERS`` letters are never listed. The labels join the result on
-    ``doc_id``, which is unique.
+    ``code`` and texts of fewer than ``LEAST_LETTERS`` letters are never listed. Labels go through the same pass, so
+    nothing shuffles; rows without an id are left out; a repeated row is listed as often as it stands in the table.
     """
-    named = documents.select("doc_id", labels.language(F.col("lang")).alias("named"), F.coalesce(F.lower(F.trim("domain")) == "code", F.lit(False)).alias("code"))
-    spoken = label_languages(documents, field).filter(F.col("letters") >= LEAST_LETTERS).select("doc_id", F.transform(F.filter("languages", lambda x: x["share"] >= SHARE), lambda x: x["lang"]).alias("langs")).filter(F.size("langs") > 0)
-    cases = spoken.join(named.filter(~F.col("code")), "doc_id").filter((F.size("langs") != 1) | F.col("named").isNull() | (F.col("named") != F.col("langs")[0]))
+    marked = documents.filter("doc_id is not null").select("doc_id", "text", labels.language(F.col("lang")).alias("_named"), F.lower(F.trim("domain")).alias("_domain"))
+    spoken = label_languages(marked, field or fit(sample(documents)), ("_named", "_domain")).filter((F.col("letters") >= LEAST_LETTERS) & ~F.coalesce(F.col("_domain") == "code", F.lit(False)))
+    langs = F.transform(F.filter("languages", lambda x: x["share"] >= SHARE), lambda x: x["lang"])
+    cases = spoken.select("doc_id", langs.alias("langs"), "_named").filter(F.size("langs") > 0).filter((F.size("langs") != 1) | F.col("_named").isNull() | (F.col("_named") != F.col("langs")[0]))
     return cases.select("doc_id", F.explode("langs").alias("lang"))
