@@ -6,10 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import config
+from quern.operators import packing as P
 from quern.plans.catalog import query
+from quern.plans.fertility import _ATOMS, _GROUP_SQL, _UNITS, atoms, token_groups
+from quern.plans.packing import _PACK_SQL, packed, schedule
+from quern.plans.schedule import _COMPILED_SQL, SEED, compiled
+from quern.plans.shards import _BINS_SQL, shard_spans
 from quern.plans.text import _CONTROL, _ZERO, _sql_count
 from quern.plans.vectors import dot
-from quern.runtime import table
+from quern.runtime import materialise, table
 
 TOY = (("doc-a", "web", "en", "The canal was closed."), ("doc-b", "code", "en", "import os"), ("doc-c", "news", "hi", "नदी का पानी"), ("doc-d", "instruction", "en", "Prompt Response: yes"))
 
@@ -74,3 +80,106 @@ def join_report(spark, folder):
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     return joined.groupBy("n_name", "o_orderstatus").agg(F.count("*").alias("lines"), F.round(F.sum("r"), 2).alias("revenue"))
+
+
+# --- parts of composite operators, by themselves ------------------------------------------------------------------------------
+
+
+@query("win_2_shard_index", _BINS_SQL + " select distinct lane, bin::int as bin, shard_id from s")
+def shard_index(spark, folder):
+    return shard_spans(spark, folder).select("lane", "bin", "shard_id").distinct()
+
+
+@query("win_3_document_spans", _BINS_SQL + " select document_id, start_token, end_token from s")
+def document_spans(spark, folder):
+    return shard_spans(spark, folder).select("document_id", "start_token", "end_token")
+
+
+@query("win_5_cumulative_supply", _COMPILED_SQL + " select run_id, lane, ord, round(cum, 3) as cumulative from compiled")
+def cumulative_supply(spark, folder):
+    return compiled(spark, folder)[1].select("run_id", "lane", F.col("ord").cast("bigint").alias("ord"), F.round("cumulative_tokens_after", 3).alias("cumulative"))
+
+
+@query("win_6_thresholds", _COMPILED_SQL + " select run_id, ord, lane, round(sum(effective_weight) over (partition by run_id, ord order by lane), 6) as upto from compiled where effective_weight > 0")
+def thresholds(spark, folder):
+    order = Window.partitionBy("run_id", "ord").orderBy("lane").rowsBetween(Window.unboundedPreceding, 0)
+    rows = compiled(spark, folder)[1].filter("effective_weight > 0")
+    return rows.select("run_id", F.col("ord").cast("bigint").alias("ord"), "lane", F.round(F.sum("effective_weight").over(order), 6).alias("upto"))
+
+
+@query("win_10_epochs_of_lanes", _PACK_SQL + " select lane, epoch, count(*) as documents, min(de - (end_token - start_token))::bigint as starts from doc group by all")
+def epochs_of_lanes(spark, folder):
+    spans, _, slots = schedule(spark, folder)
+    rows = P.stream(spans, P.windows(slots), SEED)
+    return rows.groupBy("lane", "epoch").agg(F.count("*").alias("documents"), F.min("ds").alias("starts"))
+
+
+@query("win_20_blank_lines", r"select doc_id, regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g') as value from documents")
+def blank_lines(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", F.regexp_replace("text", r"\n{3,}", "\n\n").alias("value"))
+
+
+@query("set_3_merge_pairs", f"with {_GROUP_SQL}, p as (select grp, rank, substring(token, 1, 1) as a, substring(token, 2, 1) as b from g where length(token) >= 2) select a, b, grp, rank from (select *, row_number() over (partition by a, b order by grp, rank) as r from p) where r = 1")
+def merge_pairs(spark, folder):
+    """Merges of several groups, each pair once: the first group and rank that has it."""
+    pairs = token_groups(spark, folder).filter("length(token) >= 2").select(F.substring("token", 1, 1).alias("a"), F.substring("token", 2, 1).alias("b"), "grp", "rank")
+    return pairs.groupBy("a", "b").agg(F.min(F.struct("grp", "rank")).alias("m")).select("a", "b", "m.grp", "m.rank")
+
+
+@query("pck_1_one_step", _PACK_SQL + " select slot, lane, document_id, w_start, w_end from seg2 where step = 5")
+def one_step(spark, folder):
+    """The windows of a step, from the step's own intervals: nothing before it is packed."""
+    return packed(spark, folder).filter("step = 5").select("slot", "lane", "document_id", "w_start", "w_end")
+
+
+@query("pck_5_attention", _PACK_SQL + ", p as (select seg_no, w_start + k as position from seg2, range(512) r(k) where step = 0 and slot = 0 and w_start + k < w_end) select i.position as i, j.position as j from p i join p j on i.seg_no = j.seg_no and j.position <= i.position")
+def attention(spark, folder):
+    """Positions of one window that see each other: same segment, not ahead."""
+    rows = packed(spark, folder).filter("step = 0 and slot = 0").select("w_start", F.explode(F.sequence("w_start", F.col("w_end") - 1)).alias("i"))
+    return rows.select("i", F.explode(F.sequence("w_start", "i")).alias("j"))
+
+
+@query("rpl_4_next_step", "select run_id, branch_id, max(global_step) + 1 as next_step from learning_ledger group by all")
+def next_step(spark, folder):
+    return table(spark, folder, "learning_ledger").groupBy("run_id", "branch_id").agg((F.max("global_step") + 1).alias("next_step"))
+
+
+@query("sup_5_step_batches", _PACK_SQL + " select step, slot // 4 as microbatch, string_agg(lane, ',' order by slot) as lanes from slots group by all")
+def step_batches(spark, folder):
+    rows = schedule(spark, folder)[2].select("step", F.expr("slot div 4").alias("microbatch"), "slot", "lane")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("slot", "lane"))), lambda x: x["lane"])
+    return rows.groupBy("step", "microbatch").agg(F.array_join(ordered, ",").alias("lanes"))
+
+
+@query("tok_3_word_pretokens", f"select lang, count(*) as n, sum(strlen(atom))::bigint as bytes from (select lang, unnest(regexp_extract_all(lower(replace(text, 'İ', 'i̇')), '{_ATOMS}')) as atom from documents where text is not null) group by 1")
+def word_pretokens(spark, folder):
+    rows = table(spark, folder, "documents").filter("text is not null").select("lang", F.explode(atoms(F.col("text"))).alias("atom"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("atom")).alias("bytes"))
+
+
+@query("tok_4_space_pretokens", "select piece, count(*) as n from (select unnest(list_transform(string_split(text, ' '), lambda w: '▁' || w)) as piece from documents where text is not null) group by 1")
+def space_pretokens(spark, folder):
+    """Words marked by the blank before them; joining them and turning the marks back gives the text."""
+    pieces = F.transform(F.split("text", " ", -1), lambda w: F.concat(F.lit("▁"), w))
+    return table(spark, folder, "documents").filter("text is not null").select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
+
+
+@query("mth_4_normal_numbers")
+def normal_numbers(spark, folder):
+    """Mean and deviation of standard normal numbers."""
+    return spark.range(20_000).select(F.randn(7).alias("x")).agg(F.round(F.avg("x"), 2).alias("mean"), F.round(F.stddev("x"), 2).alias("deviation"))
+
+
+@query("mth_8_bisection", "select (min(length(text)))::bigint as least from (select text, row_number() over (order by length(text)) as r, count(*) over () as n from documents where text is not null) where r >= n * 0.5")
+def bisection(spark, folder):
+    """The least length that at least half of the texts don't exceed, by bisection over aggregates."""
+    lengths = materialise(table(spark, folder, "documents").filter("text is not null").select(F.length("text").alias("n")).groupBy("n").agg(F.count("*").alias("c")), "lengths")
+    stats = lengths.agg(F.sum("c").alias("all"), F.max("n").alias("top")).first()
+    half = lambda k: (lengths.filter(F.col("n") <= int(k)).agg(F.sum("c")).first()[0] or 0) >= stats["all"] * 0.5
+    least = config.bisect(0, stats["top"] or 0, half, whole=True)
+    return spark.createDataFrame([(int(least),)], "least bigint")
+
+
+@query("sup_21_fertility_of_text", "select doc_id, round(strlen(text) / nullif(len(regexp_extract_all(text, '" + _UNITS + "')), 0)::double, 6) as by_units from documents where text is not null")
+def fertility_of_text(spark, folder):
+    return table(spark, folder, "documents").filter("text is not null").select("doc_id", F.round(F.try_divide(F.octet_length("text"), T.faithful_units(F.col("text"))), 6).alias("by_units"))
