@@ -26,6 +26,8 @@ GRAMS = 4
 #: A document's set holds the languages of at least this share of its letters; texts of fewer letters have none.
 SHARE = 0.15
 LEAST_LETTERS = 40
+#: Runs of fewer words in another language (names, loans) are no segment of their own.
+LEAST_WORDS = 3
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NEUTRAL = re.compile(r"[\d_/\\@=<>{}\[\]()#$%&*+|~^`]")
 _STORE = 300_000
@@ -295,12 +297,26 @@ def summary(labelled) -> tuple[int, list[tuple[int, float, float]]]:
 
 
 def segments(text: str, labelled) -> list[tuple[int, int, int, float]]:
-    """(start, end, language, confidence) of the stretches of a text in one language, in order, without gaps."""
+    """(start, end, language, confidence) of the stretches of a text in one language, in order, without gaps.
+
+    A run of fewer than LEAST_WORDS words joins the stretch before it (at the beginning, the one after it).
+    """
     tokens, _, best, sure, counted = labelled
     words = np.flatnonzero(counted)
     if not len(words):
         return []
-    cuts = np.r_[0, np.flatnonzero(best[words][1:] != best[words][:-1]) + 1, len(words)]
+    spoken = best[words]
+    cuts = np.r_[0, np.flatnonzero(spoken[1:] != spoken[:-1]) + 1, len(words)]
+    runs: list[list[int]] = []  # first word, language
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b - a >= LEAST_WORDS and (not runs or runs[-1][1] != spoken[a]):
+            runs.append([a if runs else 0, int(spoken[a])])
+    if not runs:
+        runs = [[0, int(np.bincount(spoken, counted[words]).argmax())]]
+    if len(runs) == 1:
+        own = words[spoken == runs[0][1]]
+        return [(0, len(text), runs[0][1], float(np.average(sure[own], weights=counted[own])))]
+    cuts = np.array([a for a, _ in runs] + [len(words)])
     begins = {int(words[c]) for c in cuts[1:-1]}
     starts, place = [0], 0
     for i, token in enumerate(tokens):
@@ -311,8 +327,8 @@ def segments(text: str, labelled) -> list[tuple[int, int, int, float]]:
     starts.append(len(text))
     out = []
     for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        own = words[a:b]
-        out.append((starts[s], starts[s + 1], int(best[own[0]]), float(np.average(sure[own], weights=counted[own]))))
+        own = words[a:b][spoken[a:b] == runs[s][1]]
+        out.append((starts[s], starts[s + 1], runs[s][1], float(np.average(sure[own], weights=counted[own]))))
     return out
 
 
@@ -337,14 +353,14 @@ def sample(documents: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str, str
 SEGMENTS = "array<struct<start:int,end:int,lang:string,confidence:double>>"
 
 
-def label_languages(documents: DataFrame, field: Field | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def label_languages(documents: DataFrame, field: Field | None = None) -> DataFrame:
     """Languages of each document.
 
     ``doc_id, language, confidence, letters, languages ARRAY<STRUCT<lang, share, confidence>>, segments ARRAY<STRUCT<start,
     end, lang, confidence>>``. ``language`` is that of most letters, whatever the labels say; texts without words (null,
     empty, numbers only) have a NULL language and no segments. ``start`` and ``end`` are offsets in the text; a document
     in one language is one segment. Whole texts are read, of any length; repeated rows give repeated results; ties go
-    to the language listed first; the string columns in ``keep`` come along, others are ignored. One pass without a shuffle, after the field was fitted on
+    to the language listed first; other columns are ignored. One pass without a shuffle, after the field was fitted on
     a bounded sample (``SAMPLE_ROWS`` a language); a table without labelled texts leaves all languages equally likely.
     """
     spark = documents.sparkSession
@@ -371,10 +387,9 @@ def label_languages(documents: DataFrame, field: Field | None = None, keep: tupl
                     parts = [{"start": a, "end": b, "lang": LANGUAGES[k], "confidence": c} for a, b, k, c in segments(text, labelled)]
                 rows.append((doc, LANGUAGES[found[0][0]], found[0][2], letters, [{"lang": LANGUAGES[k], "share": s, "confidence": c} for k, s, c in found], parts))
             made = [pa.array([r[i] for r in rows], schema.field(i).type) for i in range(6)]
-            yield pa.RecordBatch.from_arrays([*made, *batch.columns[2:]], [*schema.names, *keep])
+            yield pa.RecordBatch.from_arrays(made, schema=schema)
 
-    fields = "".join(f", `{c}` string" for c in keep)
-    return spread(documents.select("doc_id", "text", *keep)).mapInArrow(run, f"doc_id bigint, language string, confidence double, letters bigint, languages array<struct<lang:string,share:double,confidence:double>>, segments {SEGMENTS}{fields}")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, f"doc_id bigint, language string, confidence double, letters bigint, languages array<struct<lang:string,share:double,confidence:double>>, segments {SEGMENTS}")
 
 
 def mislabelled(documents: DataFrame, field: Field | None = None) -> DataFrame:
@@ -384,8 +399,23 @@ def mislabelled(documents: DataFrame, field: Field | None = None) -> DataFrame:
     ``code`` and texts of fewer than ``LEAST_LETTERS`` letters are never listed. Labels go through the same pass, so
     nothing shuffles; rows without an id are left out; a repeated row is listed as often as it stands in the table.
     """
-    marked = documents.filter("doc_id is not null").select("doc_id", "text", labels.language(F.col("lang")).alias("_named"), F.lower(F.trim("domain")).alias("_domain"))
-    spoken = label_languages(marked, field or fit(sample(documents)), ("_named", "_domain")).filter((F.col("letters") >= LEAST_LETTERS) & ~F.coalesce(F.col("_domain") == "code", F.lit(False)))
-    langs = F.transform(F.filter("languages", lambda x: x["share"] >= SHARE), lambda x: x["lang"])
-    cases = spoken.select("doc_id", langs.alias("langs"), "_named").filter(F.size("langs") > 0).filter((F.size("langs") != 1) | F.col("_named").isNull() | (F.col("_named") != F.col("langs")[0]))
-    return cases.select("doc_id", F.explode("langs").alias("lang"))
+    spark = documents.sparkSession
+    ship(spark)
+    fitted = field or fit(sample(documents))
+    shared = spark.sparkContext.broadcast((fitted.weights, fitted.transitions))
+
+    def run(batches):
+        labeller = Labeller(Field(*shared.value))
+        for batch in batches:
+            docs, langs = [], []
+            for doc, named, labelled in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), labeller.label(batch.column(1).to_pylist())):
+                letters, found = summary(labelled)
+                held = [LANGUAGES[k] for k, share, _ in found if share >= SHARE] if letters >= LEAST_LETTERS else []
+                if held and held != [named]:
+                    docs += [doc] * len(held)
+                    langs += held
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(langs, pa.string())], ["doc_id", "lang"])
+
+    code = F.coalesce(F.lower(F.trim("domain")) == "code", F.lit(False))
+    marked = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~code)
+    return spread(marked.select("doc_id", "text", labels.language(F.col("lang")).alias("named"))).mapInArrow(run, "doc_id bigint, lang string")
