@@ -232,7 +232,7 @@ def test_every_chain_comes_back():
             broken = encodings.garble(text, chain)
             if broken is None or broken == text or chain.startswith(("mac_roman", "cp437", "cp850")):
                 continue
-            name, restored, _ = detector.record(broken, 0)
+            name, restored = detector.record(broken, 0)
             assert name != encodings.CLEAN, chain
             assert restored == text, (chain, name)
         assert detector.record(text, 0)[0] == encodings.CLEAN
