@@ -1,11 +1,11 @@
-"""Evaluation texts inside training texts: one automaton over the items, one scan of each document."""
+"""Evaluation texts inside training texts: one index of the items' pairs of words, one scan of each document."""
 
 from __future__ import annotations
 
 import unicodedata
 from collections import Counter, defaultdict
+from itertools import repeat
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from quern.runtime import ship, spread
 
-#: Words of a pattern; patterns of more items than ``COMMON`` start no search (they still count as matched words).
-GRAM = 3
-COMMON = 4
 #: Share of an item's words that a stretch must hold.
 SHARE = 0.5
 #: Words that the runs of equal words in a stretch have at least on average ("a few words may be changed").
@@ -66,89 +63,100 @@ def offsets(text: str) -> list[tuple[int, int]]:
 
 
 class Registry:
-    """Items with the automaton of their word n-grams."""
+    """Items with the index of their pairs of neighbouring words.
 
-    def __init__(self, items: list[tuple[int, str]], gram: int = GRAM, common: int = COMMON):
+    A stretch that ``_stretch`` accepts is a chain of runs of equal words. Between two runs at most two equal words
+    stand alone, and at least ``RUN`` words come on each run, so half of its words and two more lie in pairs of
+    neighbouring words that both texts have. No stretch falls below that, whatever wording items share.
+    """
+
+    def __init__(self, items: list[tuple[int, str]]):
         self.words = {item: normalise(text).split() for item, text in items}
         self.pairs: dict[int, dict[tuple[str, str], list[int]]] = {}
-        grams: dict[str, set[int]] = defaultdict(set)
-        self.place: dict[int, dict[str, int]] = defaultdict(dict)
+        self.ids: dict[str, int] = {}
+        self.items = list(self.words)
         for item, words in self.words.items():
             pairs = self.pairs.setdefault(item, defaultdict(list))
+            for word in words:
+                self.ids.setdefault(word, len(self.ids))
             for i in range(len(words) - 1):
                 pairs[words[i], words[i + 1]].append(i)
-            n = min(gram, max(1, len(words)))
-            for i in range(len(words) - n + 1):
-                gram_text = f" {' '.join(words[i : i + n])} "
-                grams[gram_text].add(item)
-                self.place[item].setdefault(gram_text, i)
-        self.items_of: list[tuple[int, ...]] = []
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for text, owners in sorted(grams.items()):
-            if len(owners) <= common:
-                self.automaton.add_word(text, len(self.items_of))
-                self.items_of.append(tuple((item, self.place[item][text]) for item in sorted(owners)))
-        if self.items_of:
-            self.automaton.make_automaton()
-        # runs of RUN words make up SHARE of the item, so they hold at least SHARE * (RUN - gram + 1) / RUN of its
-        # n-grams; a fifth less is asked for, as the n-grams that start a search may be sparse in that part
-        rare = Counter(item for owners in self.items_of for item, _ in owners)
-        self.need = {item: max(1, int(0.8 * SHARE * (RUN - gram + 1) / RUN * rare[item])) for item in self.words}
+        self.lengths = np.array([len(self.words[item]) for item in self.items], "i8")
+        starts = np.cumsum(self.lengths) - self.lengths
+        rows = [(self.ids[x] * len(self.ids) + self.ids[y], starts[k] + place, k) for k, item in enumerate(self.items) for (x, y), places in self.pairs[item].items() for place in places]
+        table = np.array(sorted(rows), "i8").reshape(-1, 3)
+        # the pair ``keys[g]`` stands at ``places[first[g] : first[g + 1]]`` (of all items' words in one row) of ``owners``
+        self.keys, first = np.unique(table[:, 0], return_index=True)
+        self.first = np.append(first, len(table))
+        self.places, self.owners = table[:, 1].copy(), table[:, 2].copy()
+        self.need = np.maximum(1, np.minimum(SHARE * self.lengths, SHARE * self.lengths / 2 + 2))
 
     def leaks(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, share of its words held, first word, last word + 1) of each item that the text leaks."""
-        if not text or not self.items_of:
+        if not text or not len(self.keys):
+            return []
+        words = normalise(text).split()
+        ids = np.fromiter(map(self.ids.get, words, repeat(-1)), "i8", len(words))
+        at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+        keys = ids[at] * len(self.ids) + ids[at + 1]
+        grams = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        equal = self.keys[grams] == keys
+        at, grams = at[equal], grams[equal]
+        if not len(at):
+            return []
+        # words of each item in pairs that stand anywhere in the text
+        owned = np.sort(self._rows(np.unique(grams)))
+        some = self._covered(self.owners[owned], self.places[owned], len(self.items)) >= self.need
+        if not some.any():
             return []
-        plain = normalise(text)
-        hits: dict[int, dict[int, int]] = {}  # by item: place of the n-gram in the item by its end in the text
-        for end, gram in self.automaton.iter(plain):
-            for item, place in self.items_of[gram]:
-                hits.setdefault(item, {})[end] = place
+        rows, hit_at = self._rows(grams), np.repeat(at, self.first[grams + 1] - self.first[grams])
+        kept = np.flatnonzero(some[self.owners[rows]])
+        kept = kept[np.argsort(self.owners[rows[kept]], kind="stable")]
+        rows, hit_at = rows[kept], hit_at[kept]
+        owner = self.owners[rows]
+        # runs that can be chained have pairs at most SLIP words apart, but for one interruption: hits split into
+        # clusters at wider gaps, and a stretch lies in one cluster or in two, one of which has half of its words
+        fresh = np.append(True, (np.diff(hit_at) > SLIP + 2) | (np.diff(owner) != 0))
+        lows = np.flatnonzero(fresh)
+        highs = np.append(lows[1:], len(rows)) - 1
+        sizes = self._covered(np.cumsum(fresh) - 1, self.places[rows], len(lows))
+        spans: dict[int, list[list[int]]] = {}
+        for c in np.flatnonzero(2 * sizes >= self.need[owner[lows]]).tolist():
+            k = int(owner[lows[c]])
+            first = last = c
+            for step in (-1, 1):  # the cluster's partners on either side
+                d = c + step
+                while 0 <= d < len(lows) and owner[lows[d]] == k and (hit_at[lows[d]] - hit_at[highs[c]] if step > 0 else hit_at[lows[c]] - hit_at[highs[d]]) <= SENTENCE + 2:
+                    if sizes[c] + sizes[d] >= self.need[k]:
+                        first, last = min(first, d), max(last, d)
+                    d += step
+            if first < last or sizes[c] >= self.need[k]:
+                low, high = int(hit_at[lows[first]]), int(hit_at[highs[last]]) + 2
+                own = spans.setdefault(k, [])
+                if own and low <= own[-1][1]:
+                    own[-1] = [min(low, own[-1][0]), max(high, own[-1][1])]
+                else:
+                    own.append([low, high])
         found = []
-        words: list[str] | None = None
-        for item, ends in hits.items():
-            if len(set(ends.values())) < self.need[item]:
-                continue
-            if words is None:
-                words = plain.split()
-                blanks = np.flatnonzero(np.frombuffer(plain.encode("utf-32-le"), "u4") == 32)
-            order = sorted(ends)
-            at = np.searchsorted(blanks, np.array(order)).tolist()
-            kinds = [ends[e] for e in order]
-            wide = 2 * len(self.words[item]) + SENTENCE
-            need, start, inside, spans = self.need[item], 0, Counter(), []
-            for k, place in enumerate(at):  # windows of ``wide`` words with enough different n-grams
-                inside[kinds[k]] += 1
-                while place - at[start] > wide:
-                    inside[kinds[start]] -= 1
-                    if not inside[kinds[start]]:
-                        del inside[kinds[start]]
-                    start += 1
-                if len(inside) >= need:
-                    if spans and at[start] <= spans[-1][1]:
-                        spans[-1][1] = place
-                    else:
-                        spans.append([at[start], place])
-            for low, high in spans:
-                if self._aligned([p - k for p, k in zip(at, kinds) if low <= p <= high]) < need // 2:
-                    continue
-                reach = len(self.words[item]) + SENTENCE
-                best = self._stretch(item, words, max(0, low - reach), min(len(words), high + reach))
+        for k, own in spans.items():
+            for low, high in own:
+                best = self._stretch(self.items[k], words, low, high)
                 if best[0] >= SHARE:
-                    found.append((item, *best))
+                    found.append((self.items[k], *best))
         return found
 
-    @staticmethod
-    def _aligned(shifts: list[int]) -> int:
-        """Most n-grams that stand about as far from each other as in the item; a stretch with its one interruption
-        is two such sets, so one of them holds half of what the stretch must have."""
-        shifts.sort()
-        most = start = 0
-        for k, shift in enumerate(shifts):
-            while shift - shifts[start] > 2 * SLIP:
-                start += 1
-            most = max(most, k + 1 - start)
-        return most
+    def _rows(self, grams: np.ndarray) -> np.ndarray:
+        """Rows of ``owners`` that belong to ``grams``, one after another."""
+        counts = self.first[grams + 1] - self.first[grams]
+        return np.repeat(self.first[grams] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+    def _covered(self, groups: np.ndarray, places: np.ndarray, n: int) -> np.ndarray:
+        """Different words in each group's pairs, by their first words' places."""
+        wide = int(self.lengths.sum()) + 1
+        different = np.unique(groups * wide + places)
+        group = different // wide
+        alone = np.append(np.diff(different) != 1, True)  # its second word isn't the first of another pair
+        return np.bincount(group, 1 + alone, n)
 
     def _stretch(self, item: int, words: list[str], low: int, high: int) -> tuple[float, int, int]:
         """The share of the item's words in its best stretch of ``words[low:high]``, and where that is.
@@ -172,7 +180,7 @@ class Registry:
         covered = set()
         for _, p, n in runs:
             covered.update(range(p, p + n))
-        if len(covered) < SHARE * len(own) - 2 * SLIP:  # words between runs may add a few
+        if len(covered) < min(SHARE * len(own), SHARE * len(own) / 2 + 2):  # words between runs may add the others
             return 0.0, 0, 0
         runs.sort()
         best: list[tuple[tuple[int, int, int], tuple[int, int, int]]] = []  # by run, without and with interruption: words, runs, start

@@ -187,6 +187,38 @@ def test_leaks(spark):
     assert leaks.leaks(table, registry.limit(0)).count() == 0 and leaks.leaks(table.limit(0), registry).count() == 0
 
 
+def test_leaks_of_shared_wording():
+    # nine variants of one question: each of their word trigrams but for the last two stands in all of them
+    items = [(k, f"{ITEM} Version{k}") for k in range(9)]
+    registry = leaks.Registry(items)
+    assert {k for k, *_ in registry.leaks(ITEM)} == set(range(9))
+    # half of an item with one word changed after every four equal words, and with one word more there
+    words = leaks.normalise(ITEM).split()
+    changed = " ".join("other" if i % 5 == 4 else w for i, w in enumerate(words[:20]))
+    longer = " ".join(w + " other" if i % 4 == 3 else w for i, w in enumerate(words[:20]))
+    for text in (changed, longer):
+        assert {k for k, *_ in registry.leaks("x " * 100 + text + " y" * 100)} == set(range(9))
+
+
+def test_no_accepted_stretch_is_passed_over():
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(12)]  # few, so that items and texts share most pairs
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice((2, 5, 7, 8, 30))))) for k in range(40)]
+    registry = leaks.Registry(items)
+    accepted = 0
+    for _ in range(150):
+        text = [w for _ in range(3) for w in registry.words[rng.randrange(40)] + ["sentence"] * rng.choice((0, 3, 40))]
+        text = [w if rng.random() < 0.8 else rng.choice((f"{w} {rng.choice(words)}", "other")) for w in text]
+        text = " ".join(text).split()
+        best = {}
+        for k, share, *_ in registry.leaks(" ".join(text)):
+            best[k] = max(share, best.get(k, 0))
+        whole = {k: registry._stretch(k, text, 0, len(text))[0] for k in registry.words}
+        assert best == {k: share for k, share in whole.items() if share >= leaks.SHARE}
+        accepted += len(best)
+    assert accepted > 100
+
+
 def test_offsets_follow_the_normal_form():
     for text in ("Ａｂｃ ﬁne “x”—y­z", "", "  ", "don’t​ stop", "ÀÉ हिन्दी।"):
         assert len(leaks.offsets(text)) == len(leaks.normalise(text).split())
