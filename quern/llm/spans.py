@@ -331,26 +331,30 @@ class Shared:
 
         def windows(batches):
             for batch in batches:
-                docs, h1, h2, at_all = [], [], [], []
+                docs, h1, h2, at_all, firsts = [], [], [], [], []
                 for doc, starts, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                     points = codes(text)
                     grams = Rolling(points).grams(least)
                     other = Rolling(points[::-1]).grams(least)[::-1]
                     at = np.unique((np.array(starts)[:, None] - np.arange(step + 1)).ravel())
                     at = at[(at >= 0) & (at < len(grams))]
+                    at = at[np.lexsort((at, other[at], grams[at]))]
+                    x, y = grams[at], other[at]
                     docs.append(np.full(len(at), doc, "i8"))
-                    h1.append(grams[at].view("i8"))
-                    h2.append(other[at].view("i8"))
+                    h1.append(x.view("i8"))
+                    h2.append(y.view("i8"))
                     at_all.append(at.astype("i4"))
+                    firsts.append(np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[: len(at)])
                 if docs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, h1, h2, at_all)], ["doc_id", "h1", "h2", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, h1, h2, at_all, firsts)], ["doc_id", "h1", "h2", "start", "first"])
 
         hot_starts = placed.filter(F.col("c") > hot).groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-        found = hot_starts.join(texts.select("doc_id", "text"), "doc_id").mapInArrow(windows, "doc_id bigint, h1 bigint, h2 bigint, start int").groupBy("h1", "h2", "doc_id").agg(F.min("start").alias("start"))
-        found = materialise(found, "windows")
+        places = hot_starts.join(texts.select("doc_id", "text"), "doc_id").mapInArrow(windows, "doc_id bigint, h1 bigint, h2 bigint, start int, first boolean")
+        places = materialise(places, "windows")
+        found = places.filter("first").drop("first")  # a window once a text, for the pairs; spans are made of all places
         groups = found.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("docs")).filter("c > 1")
         self.links = links
-        self.hot_spans = found.join(groups, ["h1", "h2"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("start").alias("s"), (F.col("start") + least).alias("e"))
+        self.hot_spans = places.join(groups, ["h1", "h2"], "left_semi").select(F.col("doc_id").alias("rep"), F.col("start").alias("s"), (F.col("start") + least).alias("e"))
         # the windows of one passage have the same texts: one of them is enough for their pairs
         one = groups.groupBy("c", "docs").agg(F.min(F.struct("h1", "h2")).alias("w")).select("w.h1", "w.h2", "c")
         self.hot_pairs = paired(found.join(one, ["h1", "h2"]), ["h1", "h2"], "doc_id").toDF("a", "b")

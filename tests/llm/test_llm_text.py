@@ -319,6 +319,19 @@ def test_shared_spans(spark, hot):
     assert spans.shared_pairs(rows.limit(0), least).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 64])
+def test_spans_that_repeat_within_a_document(spark, hot):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, line = make(90), make(7)
+    texts = [make(20) + passage + make(30), passage + make(80) + passage + make(10) + passage, make(10) + line * 60 + make(10), line * 40, make(50) + line * 11, make(200)]
+    want, shared = brute(texts, 64)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    operator = spans.Shared(rows, 64, hot)
+    assert {tuple(r) for r in operator.pairs().collect()} == want
+    assert {r.doc_id: r.shared_chars for r in operator.coverage().collect()} == shared
+
+
 # --- languages -----------------------------------------------------------------------------------------------------------------------------
 
 SAMPLES = {
