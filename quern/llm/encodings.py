@@ -8,6 +8,7 @@ and must decode strictly; what was replaced or dropped can only be reported.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.runtime import ship, spread
+from quern.runtime import materialise, ship, spread
 
 #: Records that the classifier is fitted on, at most (chosen by a hash of their ids), and different words of them.
 SAMPLE_RECORDS = 6000
@@ -23,6 +24,10 @@ SAMPLE_WORDS = 40_000
 BINS = 1 << 14
 #: Log-likelihood by which a chain must beat undamaged text, in all its words of a record together.
 MARGIN = 6.0
+#: Times that a word must be more usual than what is left of it when characters were dropped.
+RARER = 5
+#: Bits of the filter that tells which words of a record have rows of evidence (more of them than needed, never fewer).
+BITS = 1 << 23
 #: Encodings that texts are wrongly read as, by what they really are.
 READ_AS = {
     "utf-8": ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859-15", "iso8859-2", "koi8-r"),
@@ -111,6 +116,16 @@ def features(word: str) -> np.ndarray:
     return ((pair[keep] * np.uint32(2654435761)) >> np.uint32(18)).astype("i4")
 
 
+def bare(word: str) -> str:
+    return _EDGE.sub("", word)
+
+
+def without_accents(word: str) -> str | None:
+    """A word without its non-ASCII characters, if what is left is long enough to be a sign that they were dropped."""
+    rest = word.encode("ascii", "ignore").decode()
+    return rest if len(rest) >= 3 and rest.isalpha() and sum(c.isascii() for c in word) * 2 >= len(word) else None
+
+
 class Classifier:
     """Multinomial model of the chains with the vocabulary of the records it was fitted on."""
 
@@ -130,18 +145,13 @@ class Classifier:
         self.log = (np.log(table) - np.log(table.sum(axis=0))).astype("f4")
         seen_in = Counter(c for text in texts for c in set(text) if not c.isascii())
         self.alphabet = frozenset(c for c, n in seen_in.items() if n > 2)
-        bare = Counter()
+        known = Counter()
         for word, n in counts.items():
-            bare[_EDGE.sub("", word)] += n
-        self.known = {w: n for w, n in bare.items() if w and n > 1}
-        # a known word without its non-ASCII characters, which is no word itself: a sign of dropped characters
-        lossy: dict[str, int] = {}
-        for w, n in bare.items():
-            if n > 2 and not w.isascii():
-                rest = w.encode("ascii", "ignore").decode()
-                if len(rest) >= 3 and rest.isalpha() and not bare.get(rest) and sum(c.isascii() for c in w) * 2 >= len(w):
-                    lossy[rest] = n
-        self.lossy = frozenset(lossy)
+            known[bare(word)] += n
+        self.known = {w: n for w, n in known.items() if w and n > 1}
+        # a known word without its non-ASCII characters, which is no word itself or far less usual (records that lost
+        # characters count too): a sign of dropped characters
+        self.lossy = frozenset(rest for w, n in known.items() if n > 2 and not w.isascii() and (rest := without_accents(w)) and n >= RARER * known[rest])
 
     def scores(self, word: str) -> np.ndarray:
         return self.log[features(word)].sum(axis=0)
@@ -154,14 +164,17 @@ class Detector:
 
     def __init__(self, model: Classifier):
         self.model = model
+        self.known, self.lossy = model.known, model.lossy
+        #: Results of words with numbers of their own, which hold for these words only.
+        self.told: dict[str, list[tuple[str, float, str | None, bool]]] = {}
         self.kept: dict[str, list[tuple[str, float, str | None, bool]]] = {}
 
     def word(self, word: str) -> list[tuple[str, float, str | None, bool]]:
         """(chain, margin, restored word or None, whether the restored word is known or its decoding is proof)."""
-        found = self.kept.get(word)
+        found = self.told[word] if word in self.told else self.kept.get(word)
         if found is None:
             found = []
-            known = self.model.known
+            known = self.known
             seen = known.get(_EDGE.sub("", word), 0)
             is_known = seen > 2
             scores = self.model.scores(word)
@@ -191,6 +204,23 @@ class Detector:
             self.kept[word] = found
         return found
 
+    def informed(self, word: str, known: dict[str, int]) -> list[tuple[str, float, str | None, bool]]:
+        """As ``word``, by numbers of the corpus."""
+        other = Detector(self.model)
+        other.known = known
+        return other.word(word)
+
+    def needs(self, word: str) -> set[str]:
+        """Words whose numbers in the corpus decide about ``word``."""
+        scores = self.model.scores(word)
+        letters = any(c.isalpha() for c in word)
+        positive = [CLASSES[k] for k in np.flatnonzero(scores > scores[0]).tolist()]
+        if letters and not positive:
+            return set()  # neither proof nor margin
+        # over all records, words of records read from UTF-8 are usual too: those that are provably damaged restore nothing
+        befores = [b for name in positive if not name.startswith("utf-8") and (b := invert(word, name)) is not None]
+        return {bare(word), *(bare(b) for b in befores if not any(proof for *_, proof in self.word(b)))} - {""}
+
     def record(self, text: str | None, replaced: int | None, restore: bool = True) -> tuple[str, str | None]:
         """(chain, or ``lost``, or ``clean``; restored text or None)."""
         if not text:
@@ -217,7 +247,7 @@ class Detector:
             return best, self._restore(text, best) if restore and best != STRIPPED else None
         if lost:
             return LOST, None
-        missing = sum(_EDGE.sub("", w) in self.model.lossy for w in words)
+        missing = sum(_EDGE.sub("", w) in self.lossy for w in words)
         return (LOST if missing >= 2 else CLEAN), None
 
     def _restore(self, text: str, chain: str) -> str:
@@ -233,6 +263,13 @@ class Detector:
         return _TOKEN.sub(back, text)
 
 
+_DAMAGED = re.compile(r"[\x80-\x9f]|[Ãâ][\x80-\xbf€™œ“”šž]|à[¤¥¦§®¯°±]|[ÐÑ][\x80-\xbf]")
+
+
+def _undamaged(text: str) -> bool:
+    return "\ufffd" not in text and not _DAMAGED.search(text)
+
+
 def sample(records: DataFrame, size: int = SAMPLE_RECORDS) -> list[str]:
     """Texts of at most ``size`` records without signs of damage, the same for the same table."""
     usable = records.filter("id is not null and text is not null and text <> ''").select("id", "text", F.coalesce("broken_utf_replacement_chars", F.lit(0)).alias("b")).filter("b = 0")
@@ -241,27 +278,156 @@ def sample(records: DataFrame, size: int = SAMPLE_RECORDS) -> list[str]:
     # a threshold on the hash first, so that no more than about twice the sample is ordered
     share = min(1.0, 2.0 * size / max(1, total))
     some = usable.filter(F.pmod(rank, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(rank, "text").limit(size)
-    texts = [r.text for r in some.select("text").collect() if "�" not in r.text]
-    damaged = re.compile(r"[\x80-\x9f]|[Ãâ][\x80-\xbf€™œ“”šž]|à[¤¥¦§®¯°±]|[ÐÑ][\x80-\xbf]")
-    return [t for t in texts if not damaged.search(t)]
+    return [r.text for r in some.select("text").collect() if _undamaged(r.text)]
+
+
+def _table(rows: list[tuple], types: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(types)], [name for name, _ in types])
+
+
+def corpus_counts(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbers over all records: ``word, bare, n`` (``n`` in undamaged ones; ASCII words by ``bare`` only), ``char, n``."""
+    types = [("kind", pa.int32()), ("word", pa.string()), ("bare", pa.string()), ("n", pa.int64())]
+
+    def count(batches):
+        for batch in batches:
+            words, others, chars = Counter(), set(), Counter()
+            for text, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = _TOKEN.findall(text)
+                if not b and _undamaged(text):
+                    words.update(found)
+                    if not text.isascii():
+                        chars.update(c for c in set(text) if not c.isascii())
+                else:
+                    others.update(w for w in found if not w.isascii())
+            own: Counter[tuple] = Counter()
+            for word, n in words.items():
+                own[None if word.isascii() else word, bare(word)] += n
+            for word in others:
+                own[word, bare(word)] += 0
+            yield _table([(0, *k, n) for k, n in own.items()] + [(1, c, c, n) for c, n in chars.items()], types)
+
+    rows = spread(records.filter("id is not null and text <> ''").select("text", F.coalesce("broken_utf_replacement_chars", F.lit(0)).alias("b"))).mapInArrow(count, "kind int, word string, bare string, n bigint")
+    rows = materialise(rows.groupBy("kind", "word", "bare").agg(F.sum("n").alias("n")), "counts")
+    return rows.filter("kind = 0").select("word", "bare", "n"), rows.filter("kind = 1").select(F.col("word").alias("char"), "n")
+
+
+def evidence(counts: DataFrame, shared) -> DataFrame:
+    """``word, known ARRAY<STRUCT<word, n>>, lossy`` of the words about which the corpus' numbers decide."""
+    known = counts.groupBy("bare").agg(F.sum("n").alias("n")).filter("n > 0 and bare <> ''")
+
+    def asks(batches):
+        detector = Detector(shared.value)
+        for batch in batches:
+            yield _table([(w, x) for w in batch.column(0).to_pylist() for x in detector.needs(w)], [("word", pa.string()), ("bare", pa.string())])
+
+    def decides(batches):
+        for batch in batches:
+            detector, rows = Detector(shared.value), []
+            for word, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if detector.informed(word, {x["bare"]: x["n"] for x in numbers}) != detector.word(word):
+                    rows.append((word, numbers, False))
+            yield _table(rows, [("word", pa.string()), ("known", batch.schema.field(1).type), ("lossy", pa.bool_())])
+
+    def shorn(batches):
+        for batch in batches:
+            yield _table([(rest, n) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if not w.isascii() and (rest := without_accents(w))], [("bare", pa.string()), ("most", pa.int64())])
+
+    schema = "word string, known array<struct<bare: string, n: bigint>>, lossy boolean"
+    asked = counts.filter("word is not null").select("word").mapInArrow(asks, "word string, bare string")
+    told = asked.join(known.filter("n > 1"), "bare").groupBy("word").agg(F.collect_list(F.struct("bare", "n")).alias("known")).mapInArrow(decides, schema)
+    rests = known.filter("n > 2").mapInArrow(shorn, "bare string, most bigint").groupBy("bare").agg(F.max("most").alias("most"))
+    lossy = rests.join(known, "bare", "left").filter(F.col("most") >= RARER * F.coalesce("n", F.lit(0))).select(F.col("bare").alias("word"), F.lit(None).cast("array<struct<bare: string, n: bigint>>").alias("known"), F.lit(True).alias("lossy"))
+    return told.unionByName(lossy)
 
 
 def _damaged(records: DataFrame, model: Classifier | None, restore: bool) -> DataFrame:
     spark = records.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(model or Classifier(sample(records)))
+    rows = spread(records.filter("id is not null").select("id", "text", F.col("broken_utf_replacement_chars").alias("b")))
+    types = [("id", pa.string()), ("chain", pa.string()), ("restored_text", pa.string())]
+    schema = "id string, chain string, restored_text string"
+    own = model is None
+    bits = None
+    if own:
+        model = Classifier(sample(records))
+        counts, chars = corpus_counts(records)
+        # the characters of Unicode bound this one; words stay in tables
+        model.known, model.lossy, model.alphabet = {}, frozenset(), frozenset(r.char for r in chars.filter("n > 2").collect())
+    shared = spark.sparkContext.broadcast(model)
+    if own:
+        facts = materialise(evidence(counts, shared), "evidence")
+        bits = np.zeros(BITS, "?")
+        bits[[r[0] for r in facts.select(F.pmod(F.crc32(F.col("word").cast("binary")), F.lit(BITS))).distinct().collect()]] = True
+        bits = np.packbits(bits)
+    marks = spark.sparkContext.broadcast(bits)
+
+    def marker():
+        if marks.value is None:
+            return lambda text: []
+        held, kept = np.unpackbits(marks.value).tobytes(), {}
+
+        def marked(text: str | None) -> list[str]:
+            """Words of the text that may have evidence."""
+            found = set()
+            for word in _TOKEN.findall(text or ""):
+                keys = kept.get(word)
+                if keys is None:
+                    keys = [k for k in {word, bare(word)} if k and held[zlib.crc32(k.encode("utf-8", "surrogatepass")) % BITS]]
+                    if len(kept) >= Detector.STORE:
+                        kept.clear()
+                    kept[word] = keys
+                if keys:
+                    found.update(keys)
+            return list(found)
+
+        return marked
 
     def run(batches):
-        detector = Detector(shared.value)
+        detector, marked = Detector(shared.value), marker()
         for batch in batches:
             rows = []
             for key, text, replaced in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if not marked(text):
+                    chain, restored = detector.record(text, replaced, restore)
+                    if chain != CLEAN:
+                        rows.append((key, chain, restored))
+            yield _table(rows, types)
+
+    def mark(batches):
+        marked = marker()
+        for batch in batches:
+            found = [(*r, words) for r in zip(*(batch.column(i).to_pylist() for i in range(3))) if (words := marked(r[1]))]
+            yield _table(found, [("id", pa.string()), ("text", pa.string()), ("b", batch.schema.field(2).type), ("words", pa.list_(pa.string()))])
+
+    def informed(batches):
+        detector, results = Detector(shared.value), {}
+        for batch in batches:
+            rows = []
+            for key, text, replaced, facts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if len(results) >= Detector.STORE:
+                    results.clear()
+                detector.told, detector.lossy = {}, set()
+                for fact in facts or ():
+                    word = fact["word"]
+                    if fact["lossy"]:
+                        detector.lossy.add(word)
+                    else:
+                        if word not in results:
+                            results[word] = detector.informed(word, {x["bare"]: x["n"] for x in fact["known"]})
+                        detector.told[word] = results[word]
                 chain, restored = detector.record(text, replaced, restore)
                 if chain != CLEAN:
                     rows.append((key, chain, restored))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["id", "chain", "restored_text"])
+            yield _table(rows, types)
 
-    return spread(records.filter("id is not null").select("id", "text", "broken_utf_replacement_chars")).mapInArrow(run, "id string, chain string, restored_text string")
+    alone = rows.mapInArrow(run, schema)
+    if not own:
+        return alone
+    kind = rows.schema["b"].dataType.simpleString()
+    some = materialise(rows.mapInArrow(mark, f"id string, text string, b {kind}, words array<string>").withColumn("place", F.monotonically_increasing_id()), "marked")
+    told = some.select("place", F.explode("words").alias("word")).join(facts, "word").groupBy("place").agg(F.collect_list(F.struct("word", "known", "lossy")).alias("facts"))
+    return alone.unionByName(some.join(told, "place", "left").select("id", "text", "b", "facts").mapInArrow(informed, schema))
 
 
 def inspect(records: DataFrame, model: Classifier | None = None) -> DataFrame:
@@ -271,7 +437,8 @@ def inspect(records: DataFrame, model: Classifier | None = None) -> DataFrame:
     replaced (U+FFFD, counted in ``broken_utf_replacement_chars``) or dropped; ``restored_text`` is NULL where the text
     can't be had back. Null and empty texts are damaged only where the counter says so; a null counter says nothing;
     repeated rows count once; an empty table gives no rows; other columns are ignored. The classifier is fitted on a
-    bounded sample; one pass over all rows then, and a shuffle of what was found.
+    bounded sample; words and characters are counted over all records, and joined to the records whose words they
+    decide about. Texts of those records shuffle, the others are seen in passes only.
     """
     return _damaged(records, model, True).distinct()
 

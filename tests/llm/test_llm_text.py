@@ -281,6 +281,21 @@ def test_damage(spark):
     assert encodings.found(rows.limit(0)).count() == 0
 
 
+def test_words_outside_the_sample(spark):
+    rng = random.Random(9)
+    words = GERMAN.split()
+    texts = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(200)]
+    rows = [(f"n{k}", texts[k % 200], 0) for k in range(40_000)]  # the sample is a sixth of them at most
+    rows += [(f"k{k}", f"Hier steht Kräuterbüchlein im Regal {k}", 0) for k in range(7)]
+    rows += [(f"l{k}", f"{a} {b} {k}", None) for k, (a, b) in enumerate([("Mühlenstüberl", "Fährgebäude")] * 7)]
+    broken = encodings.garble("Kräuterbüchlein", "cp1252>mac_roman")
+    rows += [("broken", f"Hier steht {broken} im Regal", 0), ("lost", "Mhlenstberl und Fhrgebude", None)]
+    table = spark.createDataFrame(rows, "id string, text string, broken_utf_replacement_chars int")
+    got = {r.id: (r.chain, r.restored_text) for r in encodings.inspect(table).collect()}
+    assert got == {"broken": ("cp1252>mac_roman", "Hier steht Kräuterbüchlein im Regal"), "lost": (encodings.LOST, None)}
+    assert {r.id for r in encodings.found(table).collect()} == set(got)
+
+
 # --- shared spans ------------------------------------------------------------------------------------------------------------------------
 
 
