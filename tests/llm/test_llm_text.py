@@ -219,6 +219,16 @@ def test_no_accepted_stretch_is_passed_over():
     assert accepted > 100
 
 
+@pytest.mark.parametrize("number", [1, 5, 50, 500])
+def test_items_of_one_question(spark, number):
+    registry = spark.createDataFrame([(k, ITEM if k % 2 else ITEM.upper() + " ") for k in range(number)], "item_id bigint, text string")
+    table = spark.createDataFrame([(1, "Before it. " + ITEM + " After it."), (2, "nothing")], "doc_id bigint, text string")
+    whole = [tuple(r) for r in leaks.leaks(table, registry).collect()]
+    assert len(whole) == number and {r[:2] for r in whole} == {(1, k) for k in range(number)}
+    # a registry in parts gives the same
+    assert sorted(whole) == sorted(tuple(r) for r in leaks.leaks(table, registry, part=100).collect())
+
+
 def test_offsets_follow_the_normal_form():
     for text in ("Ａｂｃ ﬁne “x”—y­z", "", "  ", "don’t​ stop", "ÀÉ हिन्दी।"):
         assert len(leaks.offsets(text)) == len(leaks.normalise(text).split())
