@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import bpe, encodings, labels, languages, leaks, mixture, pages, spans, tokens
 
@@ -241,14 +242,44 @@ PAGE = "\n".join(
 )
 
 
+def others(number=8):
+    """Pages of the same site: its menu, notices and footer around other main text."""
+    words = "boiler harbour lantern wall garden bridge market river tower orchard".split()
+    rng = random.Random(4)
+    for k in range(number):
+        own = [f"The old {rng.choice(words)} of the {rng.choice(words)} was sold to {k} neighbours who had a {rng.choice(words)} and {j} of them were pleased." for j in range(3)]
+        lines = PAGE.split("\n")
+        yield f"o{k}", "\n".join([*lines[:2], f"A title about {words[k]}", *own, "Tags: c, d", *lines[10:12], f"1. That {words[k]} again", lines[13]]), "x"
+
+
 def test_pages(spark):
-    rows = spark.createDataFrame([("a", PAGE, "x"), ("a", PAGE, "x"), ("b", None, None), ("c", "", None), ("d", " \n ", None), (None, PAGE, None), ("e", "word " * 100_000 + "\n" + "Menu", None)], "id string, text string, line_no string")
+    rows = spark.createDataFrame([("a", PAGE, "x"), ("a", PAGE, "x"), ("b", None, None), ("c", "", None), ("d", " \n ", None), (None, PAGE, None), ("e", "word " * 100_000 + "\n" + "Menu", None), *others()], "id string, text string, site string").withColumn("line_no", F.lit("clash"))
     found = {(r.id, r.line_no) for r in pages.chrome_lines(rows).collect()}
     assert {n for i, n in found if i == "a"} == {0, 1, 5, 9, 10, 11, 12, 13}
-    assert {i for i, _ in found} <= {"a", "e"} and pages.chrome_lines(rows).count() == len(found)
+    assert all({n for i, n in found if i == f"o{k}"} == {0, 1, 6, 7, 8, 9, 10} for k in range(8))
+    assert not {"b", "c", "d", None} & {i for i, _ in found} and pages.chrome_lines(rows).count() == len(found)
+    # recurring parts in blocks of sites
+    assert {(r.id, r.line_no) for r in pages.chrome_lines(rows, most=3).collect()} == found
     body = {r.id: r.body for r in pages.bodies(rows).collect()}
     assert body["a"].startswith("A title of the page\nThe night shift") and body["a"].endswith("- the apple trees")
     assert body["c"] == "" and pages.chrome_lines(rows.limit(0)).count() == 0
+    assert pages.bodies(rows).count() == len(body)
+
+
+FOREIGN = {
+    "bn": "আমাদের গ্রামের পুরানো নৌকা নদীর ধারে অনেক দিন ধরে পড়ে ছিল এবং কেউ সেটি ঠিক করেনি।",
+    "ta": "எங்கள் ஊரின் பழைய படகு ஆற்றின் கரையில் பல நாட்கள் கிடந்தது, அதை யாரும் சரி செய்யவில்லை என்று அவர்கள் சொன்னார்கள்.",
+    "pt": "O velho barco da nossa aldeia ficou muito tempo na margem do rio e ninguém quis tratar dele antes do inverno.",
+}
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_pages_in_other_languages_keep_their_bodies(spark, alone):
+    rows = [(k, f"{text}\n{text.replace(' ', '  ', 1)}\n© 2024 Example", "y") for k, text in FOREIGN.items()]
+    rows += [("rights", "They explain how they use cookies and why all rights reserved by the mill were sold to the guild.\nThe guild was pleased with it because the mill had stood there for many years.", "y")]
+    rows += [] if alone else list(others())
+    found = {(r.id, r.line_no) for r in pages.chrome_lines(spark.createDataFrame(rows, "id string, text string, site string")).filter("id not like 'o%'").collect()}
+    assert found == {(k, 2) for k in FOREIGN}
 
 
 # --- encodings ----------------------------------------------------------------------------------------------------------------------
