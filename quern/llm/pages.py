@@ -25,7 +25,7 @@ STOP_WORDS = 2000
 DENSE = 0.15
 #: Parts that recur on this share of the pages of their sites (and on at least SEEN pages) are linked.
 LINKED = 0.25
-#: Parts that recur on less than this share are the page's own.
+#: Parts that recur on less than this share are the page's own; from half of it on they may end a main body only in a list.
 OWN = 0.1
 SEEN = 3
 #: Recurring parts that one worker holds; with more, pages are read in blocks of sites, each with its own parts.
@@ -73,7 +73,7 @@ _CUT = re.compile(r"\s[|·•/»›>]\s|\t|\s{3,}|(?<=[.!?।؟。…])\s+|\s?:\
 _DIGITS = re.compile(r"\d+")
 _POINTS = ".,;:!?।\"'“”„«»()¿¡…"
 
-GOOD, BAD, OPEN, USUAL, FLAGGED, HEADING = "main", "chrome", "open", "usual", "flagged", "teaser heading"
+GOOD, BAD, OPEN, SEMI, USUAL, FLAGGED, HEADING = "main", "chrome", "open", "rather usual", "usual", "flagged", "teaser heading"
 
 
 def plain(line: str) -> str:
@@ -164,7 +164,7 @@ class Template:
             return HEADING
         if _INSIDE.fullmatch(low) or (any(sign in low for sign in _SIGNS) and _NOTICE.search(low)):
             return FLAGGED
-        return USUAL if usual else OPEN
+        return USUAL if usual else SEMI if max(shares, default=0) >= OWN / 2 and not _MARKER.match(raw) else OPEN
 
     def chrome(self, text: str | None) -> list[int]:
         """Numbers (from 0, lines split at ``\\n``) of the lines that aren't blank and don't belong to the main body."""
@@ -187,10 +187,16 @@ class Template:
         out = []
         for k, (n, _) in enumerate(lines):
             label = first[k]
-            if label in (OPEN, USUAL):
-                if label == USUAL and k + 1 < count and first[k + 1] == OPEN:
+            if label in (OPEN, SEMI, USUAL):
+                before, after = first[k - 1] if k else BAD, first[k + 1] if k + 1 < count else BAD
+                if label == USUAL and (after == USUAL or before in (BAD, USUAL) and after != GOOD) and above[k] is not None and above[k][0] != GOOD:
+                    label = BAD  # a block of buttons
+                elif label == USUAL and after in (OPEN, SEMI):
                     label = OPEN  # as the list under it
-                label = _inherited(label, above[k], below[k])
+                elif label == SEMI:
+                    label = USUAL if after == BAD else OPEN
+                if label in (OPEN, USUAL):
+                    label = _inherited(label, above[k], below[k])
             if label != GOOD:
                 out.append(n)
         return out
@@ -249,7 +255,7 @@ def templates(pages: DataFrame, most: int = PARTS) -> list[tuple[int, int, tuple
     held = materialise(held, "parts")
     sizes = held.filter("part = 0").select("site", F.col("c").alias("pages"))
     shares = held.filter("part <> 0").join(sizes, "site").groupBy("part").agg(F.sum("c").alias("c"), F.sum("pages").alias("pages"))
-    shares = materialise(shares.filter((F.col("c") >= SEEN) & (F.col("c") >= OWN * F.col("pages"))).select("part", (F.col("c") / F.col("pages")).alias("share")), "shares")
+    shares = materialise(shares.filter((F.col("c") >= SEEN) & (F.col("c") >= OWN / 2 * F.col("pages"))).select("part", (F.col("c") / F.col("pages")).alias("share")), "shares")
     number = -(-shares.count() // most) or 1
     out = []
     for block in range(number):
