@@ -1,8 +1,8 @@
 """Texts that were decoded with a wrong character encoding: found by a trained classifier, restored by inversion.
 
 The table's own undamaged records are garbled through every known chain of encodings, and a multinomial classifier over
-hashed bigrams of the words' bytes learns to tell the chains (and undamaged words) apart. A predicted chain is inverted
-and must decode strictly; what was replaced or dropped can only be reported.
+hashed bigrams of the words' bytes learns to tell the chains (and undamaged words) apart. Only the chain it predicts, and
+close runner-ups, are inverted and must decode strictly; what was replaced or dropped can only be reported.
 """
 
 from __future__ import annotations
@@ -24,6 +24,10 @@ SAMPLE_WORDS = 40_000
 BINS = 1 << 14
 #: Log-likelihood by which a chain must beat undamaged text, in all its words of a record together.
 MARGIN = 6.0
+#: One in so many blanks of the sample becomes one that doesn't break.
+JOINED = 40
+#: Log-likelihood within which of the predicted chain a runner-up is tried too (a word of few letters fits several chains).
+RUNNER_UP = 12.0
 #: Times that a word must be more usual than what is left of it when characters were dropped.
 RARER = 5
 #: Bits of the filter that tells which words of a record have rows of evidence (more of them than needed, never fewer).
@@ -133,11 +137,17 @@ class Classifier:
         counts: Counter[str] = Counter()
         for text in texts:
             counts.update(_TOKEN.findall(text))
-        words = [w for w in counts if not w.isascii()]
-        words = sorted(words, key=lambda w: (-counts[w], w))[:SAMPLE_WORDS]
+        # blanks that don't break are rare in a sample but usual in damage, so some of its blanks become such
+        trained = counts.copy()
+        for text in texts:
+            own = text.split()
+            for at in range(len(text) % JOINED, len(own) - 1, JOINED):
+                trained[f"{own[at]}\xa0{own[at + 1]}"] += 1
+        words = [w for w in trained if not w.isascii()]
+        words = sorted(words, key=lambda w: (-trained[w], w))[:SAMPLE_WORDS]
         table = np.full((BINS, len(CLASSES)), 0.05)
         for word in words:
-            weight = 1 + np.log(counts[word])
+            weight = 1 + np.log(trained[word])
             for k, name in enumerate(CLASSES):
                 changed = word if name == CLEAN else garble(word, name)
                 if changed and (k == 0 or changed != word):
@@ -157,6 +167,12 @@ class Classifier:
         return self.log[features(word)].sum(axis=0)
 
 
+def predicted(scores: np.ndarray) -> list[int]:
+    """The chain that the classifier holds most likely and its close runner-ups, none where undamaged text is likelier."""
+    least = max(float(scores[0]), float(scores.max()) - RUNNER_UP)
+    return [k for k in np.argsort(-scores, kind="stable").tolist() if k and scores[k] > scores[0] and scores[k] >= least]
+
+
 class Detector:
     """Chain and restored text of records; keeps the scores of words it has seen."""
 
@@ -179,19 +195,15 @@ class Detector:
             is_known = seen > 2
             scores = self.model.scores(word)
             letters = any(c.isalpha() for c in word)
-            for k in np.argsort(-scores).tolist():
+            for k in predicted(scores):
                 name, margin = CLASSES[k], float(scores[k] - scores[0])
-                if k == 0:
-                    if margin >= 0 and not is_known and not letters:
-                        break
-                    continue
                 before = invert(word, name)
                 if name.startswith("utf-8"):
-                    # strict decoding into characters that undamaged records use is proof, whatever the word looks like
+                    # strict decoding into characters that undamaged records use
                     proof = before is not None and len(before) < len(word) and all(c.isascii() or c in self.model.alphabet for c in before)
-                    if proof or (margin > 0 and name == STRIPPED and not is_known):
-                        found.append((name, max(margin, 0.0), before, proof))
-                elif margin > 0 and before is not None and letters:
+                    if proof or (name == STRIPPED and not is_known):
+                        found.append((name, margin, before, proof))
+                elif before is not None and letters:
                     # the sample may hold damaged words too, so the restored word must be far more usual
                     plain = _EDGE.sub("", before)
                     proof = known.get(plain, 0) >= 5 * (seen + 1) and (len(plain) > 2 or known[plain] >= 50) and len(plain) + before.startswith(("¿", "¡")) >= len(_EDGE.sub("", word))
@@ -214,9 +226,9 @@ class Detector:
         """Words whose numbers in the corpus decide about ``word``."""
         scores = self.model.scores(word)
         letters = any(c.isalpha() for c in word)
-        positive = [CLASSES[k] for k in np.flatnonzero(scores > scores[0]).tolist()]
-        if letters and not positive:
-            return set()  # neither proof nor margin
+        positive = [CLASSES[k] for k in predicted(scores)]
+        if not positive:
+            return set()
         # over all records, words of records read from UTF-8 are usual too: those that are provably damaged restore nothing
         befores = [b for name in positive if not name.startswith("utf-8") and (b := invert(word, name)) is not None]
         return {bare(word), *(bare(b) for b in befores if not any(proof for *_, proof in self.word(b)))} - {""}
@@ -237,7 +249,8 @@ class Detector:
                         if before is not None or name == STRIPPED:
                             evidence[name] = evidence.get(name, 0.0) + min(margin, 30.0) + (4.0 if proof else 0.0)
                             proofs[name] += proof
-            for name in sorted(evidence, key=lambda n: (-evidence[n], n)):
+            inverted = any(n != STRIPPED and proofs[n] for n in evidence)  # a chain that can be undone goes before one that can't
+            for name in sorted(evidence, key=lambda n: (n == STRIPPED and inverted, -evidence[n], n)):
                 needs = 1 if proofs[name] else 5 if name == STRIPPED else None
                 enough = needs is not None and evidence[name] >= needs * MARGIN
                 if enough:

@@ -312,6 +312,14 @@ def test_every_chain_comes_back():
     assert detector.record(encodings.garble(HINDI, "utf-8>cp1252"), None)[1] == HINDI
 
 
+def test_the_classifier_decides():
+    known = model()
+    broken = [encodings.garble(text, chain) for text in (GERMAN, FRENCH) for chain in ("utf-8>cp1252", "utf-8>mac_roman", "cp1252>mac_roman")]
+    assert all(encodings.Detector(known).record(x, 0)[0] != encodings.CLEAN for x in broken)
+    known.log[:] = 0
+    assert all(encodings.Detector(known).record(x, 0)[0] == encodings.CLEAN for x in broken)
+
+
 def test_damage(spark):
     broken = encodings.garble(GERMAN, "utf-8>cp1252")
     rows = spark.createDataFrame([("a", broken, 0, "x"), ("a", broken, 0, "x"), ("b", GERMAN, None, "x"), ("c", None, None, "x"), ("d", "", 0, "x"), ("e", "w�hrend", None, "x"), ("f", "plain", 3, "x"), ("g", FRENCH + " " + encodings.garble("déjà été", "utf-8>latin-1"), 0, "x"), (None, broken, 0, "x"), ("h", "a" * 300_000, None, "x")], "id string, text string, broken_utf_replacement_chars int, chain string")
