@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_shares": lambda spark, folder: mixture.shares(table(spark, folder, "mixture_stages"), table(spark, folder, "lane_plans")),
         "p2_blocks": lambda spark, folder: mixture.blocks(table(spark, folder, "mixture_stages"), table(spark, folder, "lane_plans")),
         "p2_repeats": lambda spark, folder: mixture.repeats(table(spark, folder, "documents"), table(spark, folder, "mixture_stages")),
+        "p2_documents": lambda spark, folder: mixture.placed(table(spark, folder, "documents"), table(spark, folder, "mixture_stages")),
         "p3_found": lambda spark, folder: leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_registry")).select("doc_id", "item_id"),
         "p3_spans": lambda spark, folder: leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_registry")),
         "p4_found": lambda spark, folder: pages.chrome_lines(table(spark, folder, "extracted_pages")),

@@ -125,16 +125,49 @@ def test_scarce_lanes(spark):
     assert mixture.mix(s.limit(0), p).count() == 0
 
 
-def test_repeats(spark):
-    rows = [(k, "abc" * 10, "clash", None, None, lane) for k, lane in enumerate(["code"] * 300 + ["Indic "] * 30 + ["other", None])] + [(900, None, None, None, None, "code"), (901, " ", None, None, None, "code")]
-    table = spark.createDataFrame(rows, "doc_id bigint, text string, repeats string, source string, domain string, capability_lane string")
-    s = stages(spark, [("r", "s", 0, 10, {"code": 1.0, "indic": 1.0}, 1)])
-    got = mixture.repeats(table, s, cap=4).collect()
-    assert len(got) == len(rows)
-    assert {r.repeats for r in got if r.lane == "indic"} == {4}
-    assert {r.repeats for r in got if r.lane in ("other", None) or r.n_tokens == 0} == {0}
-    assert 110 < sum(r.repeats for r in got if r.lane == "code") < 220
-    assert mixture.repeats(table.limit(0), s).count() == 0
+def test_shares_are_sums_over_blocks(spark):
+    rng = random.Random(6)
+    names = ["code", "indic", "general_web", "instruction"]
+    s = stages(spark, [("r", f"s{k}", 0, rng.choice((1, 7, 1000, 300_000)), {n: rng.choice((0.0, 0.1, 1.0, 7.0)) for n in names[: rng.randint(1, 4)]}, rng.choice((1, 2, 8))) for k in range(40)])
+    p = plans(spark, [("r", f"s{k}", n, rng.randint(0, 100_000), 1) for k in range(40) for n in names if rng.random() < 0.8])
+    whole = {(r.stage, r.lane): r for r in mixture.mix(s, p, block=1000).collect()}
+    sums, slots = {}, {}
+    for r in mixture.blocks(s, p, block=1000).collect():
+        sums[r.stage, r.lane] = sums.get((r.stage, r.lane), 0) + r.tokens
+        slots.setdefault(r.stage, []).append((r.slot, r.release, r.deadline))
+    assert whole and sums.keys() == whole.keys()
+    assert all(abs(sums[k] - whole[k].used_tokens) < 1e-6 and whole[k].max_lag < 1 + 1e-9 for k in whole)
+    assert all(release <= slot < deadline for own in slots.values() for slot, release, deadline in own[:-4])
+    for stage in {k for k, _ in whole}:
+        used = sum(v for (k, _), v in sums.items() if k == stage)
+        assert all(abs(whole[k, n].actual_share - (v / used if used else 0)) < 1e-9 for (k, n), v in sums.items() if k == stage)
+    assert {k for k, r in whole.items() if r.missed_blocks} == {(r.stage, r.lane) for r in mixture.scarce(s, p).collect()}
+
+
+def test_documents_in_slots(spark):
+    rows = [(k, "abc" * (1 + k % 7), "clash", lane) for k, lane in enumerate(["code"] * 60 + ["Indic "] * 9 + ["other", None])] + [(900, None, None, "code"), (901, " ", None, "code")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, slot string, capability_lane string")
+    s = stages(spark, [("r", "s", 0, 1000, {"code": 1.0, "indic": 1.0, "none": 1.0}, 2), ("r", "t", 0, 90, {"code": 1.0}, 1)])
+    size = {r[0]: len((r[1] or "").strip()) + 1 for r in rows}
+    lines = {}
+    for r in sorted(mixture.lane_lines(table)[0].collect(), key=lambda r: r.ds):
+        own = lines.setdefault(r.spelled, [])
+        assert r.de - r.ds == size[r.doc_id] and r.ds == sum(size[d] for d in own)
+        own.append(r.doc_id)
+    assert {k: len(v) for k, v in lines.items()} == {"code": 60, "indic": 9, "other": 1}
+    got = sorted(mixture.placed(table, s, width=16).collect())
+    given = {(r.stage, r.lane): r.used_tokens for r in mixture.repeats(table, s).collect()}
+    assert given["s", "none"] == 0 and given["s", "indic"] == 2 * sum(size[d] for d in lines["indic"])
+    for stage, lane in {(r.stage, r.lane) for r in got}:
+        own = [r for r in got if (r.stage, r.lane) == (stage, lane)]
+        assert abs(sum(r.tokens for r in own) - given[stage, lane]) < 1e-5
+        endless = [(e, d) for e in range(3) for d in lines[lane] for _ in range(size[d])]
+        at = 0.0
+        for r in own:
+            assert (r.first_epoch, r.first_doc) == endless[int(at + 1e-6)]
+            at += r.tokens
+            assert (r.last_epoch, r.last_doc) == endless[int(at - 1e-6)]
+    assert mixture.placed(table.limit(0), s).count() == 0 and mixture.repeats(table, s.limit(0)).count() == 0
 
 
 def test_rows_without_ids(spark, field):
