@@ -11,6 +11,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,9 @@ LEAST_WORDS = 3
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NEUTRAL = re.compile(r"[\d_/\\@=<>{}\[\]()#$%&*+|~^`]")
 _STORE = 300_000
+#: Longer texts are labelled in stretches of so many words, with some words more on both sides.
+STRETCH = 1024
+MARGIN = 64
 _B = np.uint64(0x100000001B3)
 
 
@@ -63,10 +67,8 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         mixed = grams[inside] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
         bins.append(mixed >> np.uint64(48))
         owners.append(owner[:size][inside])
-    # the word itself: sum of its characters' hashes weighted by place
-    place = np.arange(len(points)) - np.repeat(np.r_[0, ends[:-1]], np.diff(np.r_[0, ends]))
-    whole = np.add.reduceat(points * (np.uint64(2) * place.astype("u8") + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), np.r_[0, ends[:-1]]) if len(words) else np.zeros(0, "u8")
-    bins.append((whole * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48))
+    # the word itself
+    bins.append(np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), "u8", len(words)) >> np.uint64(48))
     owners.append(np.arange(len(words)))
     return np.concatenate(bins).astype("i8") & (BINS - 1), np.concatenate(owners)
 
@@ -155,7 +157,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 11, epochs: int = 2) -> Field:
     good = list(range(len(coded)))
     width = 80
     for epoch in range(epochs):
-        mean, mean_moves, batches = np.zeros_like(field.weights, dtype="f8"), np.zeros_like(field.transitions, dtype="f8"), 0
+        late, mean_moves, batches = np.zeros_like(field.weights, dtype="f8"), np.zeros_like(field.transitions, dtype="f8"), 0
         pieces = []
         for i in good:
             k, words = coded[i]
@@ -195,25 +197,33 @@ def fit(rows: list[tuple[str, str]], seed: int = 11, epochs: int = 2) -> Field:
             wrong[np.arange(len(truth)), truth] -= 1
             by_word = np.zeros((len(used), len(LANGUAGES)))
             np.add.at(by_word, inverse, wrong)
-            gradient = np.stack([np.bincount(flat, by_word[of, k], BINS) for k in range(len(LANGUAGES))], axis=1) / len(batch)
-            squares += (gradient**2).sum(axis=1)
-            field.weights -= (0.1 * gradient / np.sqrt(squares)[:, None]).astype("f4")
+            held, place = np.unique(flat, return_inverse=True)
+            gradient = np.stack([np.bincount(place, by_word[of, k], len(held)) for k in range(len(LANGUAGES))], axis=1) / len(batch)
+            squares[held] += (gradient**2).sum(axis=1)
+            step = (0.1 * gradient / np.sqrt(squares[held])[:, None]).astype("f4")
+            field.weights[held] -= step
+            late[held] += batches * step  # what the mean over batches lacks of this step
             observed = np.zeros_like(expected)
             for _, y in batch:
                 np.add.at(observed, (y[:-1], y[1:]), 1)
             step = (expected - observed) / len(batch)
             move_squares += (step**2).sum()
             field.transitions -= (0.5 * step / np.sqrt(move_squares)).astype("f4")
-            mean += field.weights
             mean_moves += field.transitions
             batches += 1
-        field = Field((mean / batches).astype("f4"), (mean_moves / batches).astype("f4"))
+        field = Field((field.weights + late / batches).astype("f4"), (mean_moves / batches).astype("f4"))
         if epoch + 1 < epochs:
             scores = np.add.reduceat(field.weights[bins], starts[:-1], axis=0)
             agree = np.zeros(len(coded))
-            for i, (k, words) in enumerate(coded):
-                posterior = marginals(potentials(scores[words])[None], np.array([len(words)]), field.transitions)[0]
-                agree[i] = np.mean(posterior.argmax(axis=1) == k)
+            order = sorted(range(len(coded)), key=lambda i: -len(coded[i][1]))
+            for at in range(0, len(order), 128):
+                some = order[at : at + 128]
+                lengths = np.array([len(coded[i][1]) for i in some])
+                inside = np.arange(lengths[0])[None, :] < lengths[:, None]
+                padded = np.zeros((len(some), lengths[0], len(LANGUAGES)), "f4")
+                padded[inside] = scores[np.concatenate([coded[i][1] for i in some])]
+                right = marginals(potentials(padded), lengths, field.transitions).argmax(axis=2) == np.array([coded[i][0] for i in some])[:, None]
+                agree[some] = (right & inside).sum(axis=1) / lengths
             usual = {k: min(0.9, float(np.median([a for a, c in zip(agree, coded) if c[0] == k]))) for k, _ in coded}
             good = [i for i, (k, _) in enumerate(coded) if agree[i] >= usual[k]]
     return field
@@ -247,6 +257,28 @@ class Labeller:
         self.counted[first:size] = np.where([bool(w) for w in words], alphabetic, 0)
         self.index.update((t, first + i) for i, t in enumerate(tokens))
 
+    def _best(self, coded: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Likeliest language of each token of each text, and its posterior; long texts go in overlapping stretches."""
+        cuts = [(i, low, max(0, low - MARGIN), min(len(x), low + STRETCH + MARGIN)) for i, x in enumerate(coded) for low in range(0, len(x), STRETCH)]
+        cuts.sort(key=lambda c: c[2] - c[3])
+        best, sure = [np.zeros(len(x), "i8") for x in coded], [np.zeros(len(x), "f4") for x in coded]
+        k = 0
+        while k < len(cuts):
+            width = cuts[k][3] - cuts[k][2]
+            some = cuts[k : k + max(1, min(512, 150_000 // width))]
+            k += len(some)
+            lengths = np.array([stop - start for _, _, start, stop in some])
+            inside = np.arange(width)[None, :] < lengths[:, None]
+            ids = np.zeros((len(some), width), "i8")
+            ids[inside] = np.concatenate([coded[i][start:stop] for i, _, start, stop in some])
+            posterior = marginals(self.table[ids], lengths, self.field.transitions)
+            kinds, values = posterior.argmax(axis=2), posterior.max(axis=2)
+            for j, (i, low, start, _) in enumerate(some):
+                high = min(len(coded[i]), low + STRETCH)
+                best[i][low:high] = kinds[j, low - start : high - start]
+                sure[i][low:high] = values[j, low - start : high - start]
+        return best, sure
+
     def label(self, texts: list[str | None]):
         """(tokens, letters, language of each token, its posterior, counted letters of each token) of each text."""
         out: list = [None] * len(texts)
@@ -263,22 +295,10 @@ class Labeller:
             if new:
                 self._learn(new)
             coded = [np.fromiter(map(self.index.__getitem__, tokens), "i8", len(tokens)) for tokens in split]
-            order = sorted((i for i in range(len(split)) if len(coded[i])), key=lambda i: -len(coded[i]))
-            k = 0
-            while k < len(order):
-                width = len(coded[order[k]])
-                some = order[k : k + max(1, min(512, 150_000 // width))]
-                k += len(some)
-                lengths = np.array([len(coded[i]) for i in some])
-                inside = np.arange(width)[None, :] < lengths[:, None]
-                ids = np.zeros((len(some), width), "i8")
-                ids[inside] = np.concatenate([coded[i] for i in some])
-                posterior = marginals(self.table[ids], lengths, self.field.transitions)
-                best = posterior.argmax(axis=2)
-                sure = posterior.max(axis=2)
-                for j, i in enumerate(some):
-                    n = lengths[j]
-                    out[at + i] = (split[i], int(self.letters[coded[i]].sum()), best[j, :n], sure[j, :n], self.counted[coded[i]])
+            best, sure = self._best(coded)
+            for i, tokens in enumerate(split):
+                if len(tokens):
+                    out[at + i] = (tokens, int(self.letters[coded[i]].sum()), best[i], sure[i], self.counted[coded[i]])
             at = stop
         return out
 
@@ -365,8 +385,8 @@ def label_languages(documents: DataFrame, field: Field | None = None) -> DataFra
     """
     spark = documents.sparkSession
     ship(spark)
-    fitted = field or fit(sample(documents))
-    shared = spark.sparkContext.broadcast((fitted.weights, fitted.transitions))
+    own = field or fit(sample(documents))
+    shared = spark.sparkContext.broadcast((own.weights, own.transitions))
     piece = pa.struct([("lang", pa.string()), ("share", pa.float64()), ("confidence", pa.float64())])
     stretch = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])
     schema = pa.schema([("doc_id", pa.int64()), ("language", pa.string()), ("confidence", pa.float64()), ("letters", pa.int64()), ("languages", pa.list_(piece)), ("segments", pa.list_(stretch))])
@@ -401,8 +421,8 @@ def mislabelled(documents: DataFrame, field: Field | None = None) -> DataFrame:
     """
     spark = documents.sparkSession
     ship(spark)
-    fitted = field or fit(sample(documents))
-    shared = spark.sparkContext.broadcast((fitted.weights, fitted.transitions))
+    own = field or fit(sample(documents))
+    shared = spark.sparkContext.broadcast((own.weights, own.transitions))
 
     def run(batches):
         labeller = Labeller(Field(*shared.value))
