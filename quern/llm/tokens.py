@@ -11,8 +11,8 @@ from quern.llm import bpe, labels
 from quern.runtime import materialise, ship, spread
 
 TOKENIZER = "byte_bpe_50k"
-#: Ranks within one length are counted in this many slices, so a length that many rows share is no single task.
-SLICES = 256
+#: Ranks within one length are counted in slices of about so many rows, so a length that many rows share is no single task.
+SLICE = 20_000
 
 
 def encode(documents: DataFrame, tokenizer: str = TOKENIZER, folder: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,9 +196,9 @@ class Planner:
             self.plan.extend(open_by_room[room])
 
 
-def ranked(items: DataFrame, size: str, order: list[str], into: str = "rank") -> DataFrame:
-    """Rank (from 0) of each row within its ``size``, by slices, so that no size is a single task."""
-    sliced = items.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
+def ranked(items: DataFrame, size: str, order: list[str], most: int, into: str = "rank", rows: int = SLICE) -> DataFrame:
+    """Rank (from 0) of each row within its ``size``, of which one has at most ``most`` rows, by slices of about ``rows``."""
+    sliced = items.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(-(-most // rows) or 1)).cast("int"))
     counts = sliced.groupBy(size, "_slice").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(size).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(size, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
@@ -251,6 +251,6 @@ def containers(documents: DataFrame, capacity: int = 2048, tokenizer: str = TOKE
             yield pa.RecordBatch.from_arrays([pa.array(ids), *batch.columns[:4], pa.array(unused)], ["container_id", "doc_id", "part_no", "start_token", "n_tokens", "unused"])
 
     schema = "container_id bigint, doc_id bigint, part_no int, start_token bigint, n_tokens bigint, unused bigint"
-    placed = ranked(parts, "n_tokens", ["doc_id", "part_no"]).select("doc_id", "part_no", "start_token", "n_tokens", "rank").mapInArrow(place, schema)
+    placed = ranked(parts, "n_tokens", ["doc_id", "part_no"], max(histogram.values(), default=0)).select("doc_id", "part_no", "start_token", "n_tokens", "rank").mapInArrow(place, schema)
     nothing = sizes.filter("n_tokens = 0").selectExpr("cast(null as bigint) container_id", "doc_id", "0 part_no", "cast(0 as bigint) start_token", "n_tokens", "cast(null as bigint) unused")
     return placed.unionByName(nothing)
