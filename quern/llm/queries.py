@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_ids": lambda spark, folder: tokens.encode(table(spark, folder, "documents")),
         "p8_containers": lambda spark, folder: tokens.containers(table(spark, folder, "documents")),
         "p9_found": lambda spark, folder: spans.shared_pairs(table(spark, folder, "documents")),
+        "p9_classes": lambda spark, folder: spans.shared_classes(table(spark, folder, "documents")),
         "p9_spans": lambda spark, folder: spans.shared_spans(table(spark, folder, "documents")),
     }
 

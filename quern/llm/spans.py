@@ -19,8 +19,8 @@ from quern.runtime import materialise, ship, spread
 LEAST = 400
 #: Blocks held by more texts than this are no shard: their texts are matched by all their spans of LEAST characters.
 HOT = 64
-#: A long text is so many characters of several shards.
-STRETCH = 32_768
+#: A text leads one shard for each stretch of so many characters, which bounds a shard: blocks of a stretch, HOT texts each.
+STRETCH = 4096
 #: Rows of one group that one task pairs with all others of it.
 BLOCK = 1024
 _CHUNK = 1 << 20
@@ -360,14 +360,26 @@ class Shared:
         self.hot_pairs = paired(found.join(one, ["h1", "h2"]), ["h1", "h2"], "doc_id").toDF("a", "b")
 
     def pairs(self) -> DataFrame:
-        """``doc_a, doc_b`` (``doc_a < doc_b``) of all documents that share a span, copies included."""
+        """``doc_a, doc_b`` (``doc_a < doc_b``) of all documents that share a span, derived from the classes, copies included."""
         members = self.copies.select("doc_id", "rep")
         x, y = members.select(F.col("doc_id").alias("x"), F.col("rep").alias("a")), members.select(F.col("doc_id").alias("y"), F.col("rep").alias("b"))
-        between = self.links.select("a", "b").unionByName(self.hot_pairs).distinct().join(x, "a").join(y, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+        between = self.class_links().join(x, "a").join(y, "b").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
         many = members.groupBy("rep").agg(F.count("*").alias("c")).filter("c > 1")
         within = paired(members.join(many, "rep"), ["rep"], "doc_id").toDF("doc_a", "doc_b")
         return between.unionByName(within)
 
+    def classes(self) -> DataFrame:
+        """``doc_id, rep, copies, partners`` of each document that shares a span: its class of exact copies and how many
+        other classes share a span with it. With ``class_links`` this holds all pairs without expanding copies."""
+        members = self.copies.groupBy("rep").agg(F.count("*").alias("copies"))
+        ends = self.class_links().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("partners"))
+        known = members.join(ends, "rep", "left").filter("copies > 1 or partners > 0").select("rep", "copies", F.coalesce("partners", F.lit(0)).cast("bigint").alias("partners"))
+        return self.copies.select("doc_id", "rep").join(known, "rep").select("doc_id", "rep", "copies", "partners")
+
+    def class_links(self) -> DataFrame:
+        """``a, b`` (representatives, ``a < b``) of different texts that share a span, each once."""
+        return self.links.select("a", "b").unionByName(self.hot_pairs).distinct()
+
     def coverage(self) -> DataFrame:
         """``doc_id, n_chars, shared_chars, share, spans ARRAY<STRUCT<start, end>>`` of each document that shares a span."""
         ends = self.links.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("n")).alias("e")), F.struct(F.col("b").alias("rep"), F.col("start_b").alias("s"), (F.col("start_b") + F.col("n")).alias("e")))).alias("x")).select("x.*").unionByName(self.hot_spans).distinct()
@@ -394,3 +406,8 @@ def shared_pairs(documents: DataFrame, least: int = LEAST) -> DataFrame:
 def shared_spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """Merged spans of each document that stand elsewhere too, and their share of its text; see ``Shared.coverage``."""
     return Shared(documents, least).coverage()
+
+
+def shared_classes(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """One row a document that shares a span: its class of copies and its number of links; see ``Shared.classes``."""
+    return Shared(documents, least).classes()

@@ -413,6 +413,10 @@ def test_shared_spans(spark, hot):
     got = [tuple(r) for r in operator.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {r.doc_id: r.shared_chars for r in operator.coverage().collect()} == shared
+    rep = {k: texts.index(t) for k, t in enumerate(texts) if t}
+    links = {(rep[a], rep[b]) for a, b in want if rep[a] != rep[b]}
+    held = {(r.doc_id, r.rep, r.copies, r.partners) for r in operator.classes().collect()}
+    assert held == {(k, rep[k], texts.count(texts[k]), sum(rep[k] in x for x in {tuple(sorted(y)) for y in links})) for k in shared}
     assert spans.shared_pairs(rows.limit(0), least).count() == 0
 
 
@@ -464,6 +468,27 @@ def test_mixed_languages(spark, field):
     assert languages.label_languages(docs(spark, []), field).count() == 0
 
 
+def test_stretches_change_no_label(field, monkeypatch):
+    rng = random.Random(8)
+    text = " ".join(SAMPLES[k] for k in rng.choices(list(SAMPLES), k=200))
+    whole = languages.Labeller(field)
+    monkeypatch.setattr(languages, "STRETCH", 10**9)
+    (want,) = whole.label([text])
+    for size in (100, 999):
+        monkeypatch.setattr(languages, "STRETCH", size)
+        (got,) = languages.Labeller(field).label([text])
+        assert (got[2] == want[2]).all() and abs(got[3] - want[3]).max() < 1e-3
+
+
+def test_words_of_the_lexicon_have_bins_of_their_own():
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(20_000)})
+    bins, owners = languages.features(words)
+    own = bins[len(bins) - len(words) :]
+    assert (owners[-len(words) :] == range(len(words))).all()
+    assert len(set(own.tolist())) > 0.95 * languages.BINS * (1 - 2.718281828 ** (-len(words) / languages.BINS))
+
+
 def test_mislabelled(spark, field):
     schema = "doc_id bigint, text string, lang string, domain string, language string"
     mixed = SAMPLES["en"] + ". " + SAMPLES["hi"]
