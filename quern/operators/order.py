@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,24 +31,39 @@ def next_fit(rows: DataFrame, group: str, order: str, size: str, budget: int) ->
     """Bins in order of arrival: a bin closes when the next row would overflow it; a larger row has its own bin.
 
     Adds ``bin`` (from 0 in each group). The rule makes each bin depend on the one before, so a group is one sorted
-    stream of (key, size) rows, read in constant memory; texts take no part in it.
+    stream of narrow rows (``rows`` holds no texts), of which a batch at a time is in memory; from one bin to the next
+    it jumps by a search in the running sums. Repeated rows are rows of their own.
     """
 
     def run(batches):
-        state: tuple = (None, 0, 0)
+        last, number, used = None, 0, 0
         for batch in batches:
-            bins = []
-            for g, n in zip(batch.column(group).to_pylist(), batch.column(size).to_pylist()):
-                last, number, used = state
-                if g != last:
-                    number, used = 0, 0
-                elif used and used + n > budget:
-                    number, used = number + 1, 0
-                state = (g, number, used + n)
-                bins.append(number)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, pa.int32())], [*batch.schema.names, "bin"])
-
-    return _by_group(rows, group, [group, order], [group, order, size], run)
+            keys = batch.column(group)
+            sizes = batch.column(size).to_numpy(zero_copy_only=False).astype("i8")
+            codes = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            cuts = np.r_[0, np.flatnonzero(codes[1:] != codes[:-1]) + 1, len(codes)].astype("i8")
+            bins = np.zeros(len(codes), "i4")
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if low == high:
+                    continue
+                if (key := keys[low].as_py()) != last or low:
+                    last, number, used = key, 0, 0
+                sums = np.cumsum(sizes[low:high])
+                at, done = 0, 0
+                while at < high - low:
+                    stop = int(np.searchsorted(sums, done + budget - used, side="right"))
+                    if stop == at and used == 0:
+                        stop = at + 1  # larger than a bin
+                    bins[low + at : low + stop] = number
+                    if stop > at:
+                        used += int(sums[stop - 1]) - done
+                        done = int(sums[stop - 1])
+                    at = stop
+                    if at < high - low:
+                        number, used = number + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins)], [*batch.schema.names, "bin"])
+
+    return _by_group(rows, group, [group, order], run)
 
 
 def best_fit(rows: DataFrame, group: str, order: str, size: str, budget: int) -> DataFrame:
@@ -74,12 +90,10 @@ def best_fit(rows: DataFrame, group: str, order: str, size: str, budget: int) ->
                 bins.append(number)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, pa.int32())], [*batch.schema.names, "bin"])
 
-    return _by_group(rows, group, [F.col(group), F.col(size).desc(), F.col(order)], [group, order, size], run)
+    return _by_group(rows, group, [F.col(group), F.col(size).desc(), F.col(order)], run)
 
 
-def _by_group(rows: DataFrame, group: str, ordering, columns: list[str], run) -> DataFrame:
+def _by_group(rows: DataFrame, group: str, ordering, run) -> DataFrame:
     ship(rows.sparkSession)
-    narrow = rows.select(*columns)
-    fields = ", ".join(f"{c} {narrow.schema[c].dataType.simpleString()}" for c in columns)
-    placed = narrow.repartition(group).sortWithinPartitions(*ordering).mapInArrow(run, f"{fields}, bin int")
-    return rows.join(placed.drop(columns[2]), columns[:2])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(group).sortWithinPartitions(*ordering).mapInArrow(run, f"{fields}, bin int")

@@ -6,10 +6,16 @@ intervals of that line. A window's segments are the overlaps of the two, so ever
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.order import running
+from quern.runtime import ship
 
 
 def windows(slots: DataFrame) -> DataFrame:
@@ -48,6 +54,7 @@ def segments(wins: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return pairs.select(
         "step",
         "slot",
+        "stage",
         "lane",
         "sequence_length",
         "shard_id",
@@ -60,6 +67,66 @@ def segments(wins: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     )
 
 
+class Pending:
+    """Documents of an epoch that wait to be packed, by length; those of one length in the epoch's order."""
+
+    def __init__(self, docs: list[tuple]):
+        self.by_length: dict[int, deque] = {}
+        for doc in docs:
+            self.by_length.setdefault(doc[3] - doc[2], deque()).append(doc)
+        self.lengths = sorted(self.by_length)
+
+    def pick(self, room: int) -> tuple:
+        """The longest document that fits, else the shortest of all; the earliest of one length."""
+        at = max(bisect.bisect_right(self.lengths, room) - 1, 0)
+        own = self.by_length[self.lengths[at]]
+        doc = own.popleft()
+        if not own:
+            del self.lengths[at]
+        return doc
+
+
+def best_fit_segments(wins: DataFrame, pool: DataFrame, seed: str) -> DataFrame:
+    """Segments of ``wins`` (of ``windows``) where each window takes the document of the epoch that fits it best.
+
+    Documents that don't fit are cut, and their rest goes first into the lane's next window. As each choice depends on
+    all before it, a lane is one stream of narrow rows, its documents first; what waits of an epoch is in memory. Lanes
+    without tokens have no segments; documents without tokens are never taken.
+    """
+    ship(wins.sparkSession)
+    none = lambda kind: F.lit(None).cast(kind)
+    docs = pool.select("lane", F.lit(0).alias("kind"), none("bigint").alias("step"), none("int").alias("slot"), none("string").alias("stage"), none("int").alias("sequence_length"), "shard_id", "document_id", F.col("start_token").cast("bigint"), F.col("end_token").cast("bigint"), F.col("response_start_token").cast("bigint"))
+    rows = docs.filter("end_token > start_token").unionByName(wins.select("lane", F.lit(1).alias("kind"), F.col("step").cast("bigint"), F.col("slot").cast("int"), "stage", F.col("sequence_length").cast("int"), *[none(k).alias(c) for c, k in (("shard_id", "string"), ("document_id", "string"), ("start_token", "bigint"), ("end_token", "bigint"), ("response_start_token", "bigint"))]))
+    out = pa.schema([("step", pa.int64()), ("slot", pa.int32()), ("stage", pa.string()), ("lane", pa.string()), ("sequence_length", pa.int32()), ("shard_id", pa.string()), ("document_id", pa.string()), *[(c, pa.int64()) for c in ("w_start", "w_end", "s_start", "s_end", "response_start_token")]])
+
+    def run(batches):
+        lane, known, epoch, pending, carry = None, [], 0, None, None
+        for batch in batches:
+            made = []
+            for r in batch.to_pylist():
+                if r["lane"] != lane:
+                    lane, known, epoch, pending, carry = r["lane"], [], 0, None, None
+                if r["kind"] == 0:
+                    known.append((r["shard_id"], r["document_id"], r["start_token"], r["end_token"], r["response_start_token"]))
+                    continue
+                at, length = 0, r["sequence_length"]
+                while at < length and known:
+                    if carry is None:
+                        if pending is None or not pending.lengths:
+                            key = lambda d, e=epoch: hashlib.sha256(f"{seed}:lane_sequence:{lane}:{e}:{d[0]}:{d[1]}".encode()).hexdigest()
+                            pending, epoch = Pending(sorted(known, key=key)), epoch + 1
+                        carry = pending.pick(length - at)
+                    shard, doc, low, high, response = carry
+                    take = min(length - at, high - low)
+                    made.append((r["step"], r["slot"], r["stage"], lane, length, shard, doc, at, at + take, low, low + take, response))
+                    at += take
+                    carry = (shard, doc, low + take, high, response) if low + take < high else None
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], f.type) for i, f in enumerate(out)], schema=out)
+
+    ordered = rows.repartition("lane").sortWithinPartitions("lane", "kind", "step", "slot", "shard_id", "start_token")
+    return ordered.mapInArrow(run, "step bigint, slot int, stage string, lane string, sequence_length int, shard_id string, document_id string, w_start bigint, w_end bigint, s_start bigint, s_end bigint, response_start_token bigint")
+
+
 def prompt_tokens() -> Column:
     """Masked prompt tokens of a segment: those before the response, in lanes that keep their structure."""
     response = F.col("response_start_token")
@@ -75,7 +142,7 @@ def useful_tokens() -> Column:
 def samples(segs: DataFrame) -> DataFrame:
     """One row a window: its segments in order, and per position the segment, the place in it and the loss mask."""
     entry = F.struct("w_start", "w_end", "shard_id", "document_id", "s_start", "s_end", prompt_tokens().alias("prompt"))
-    packed = segs.groupBy("step", "slot", "lane", "sequence_length").agg(F.array_sort(F.collect_list(entry)).alias("segments"))
+    packed = segs.groupBy("step", "slot", "stage", "lane", "sequence_length").agg(F.array_sort(F.collect_list(entry)).alias("segments"))
     size = lambda s: (s["w_end"] - s["w_start"]).cast("int")
     segment = F.flatten(F.transform("segments", lambda s, i: F.array_repeat(i, size(s))))
     position = F.flatten(F.transform("segments", lambda s: F.sequence(F.lit(0), size(s) - 1)))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.runtime import ship
+
 #: Batch slots of a step.
 BATCH = 8
 
@@ -111,26 +118,56 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(key, 256), 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(float(2**64))
 
 
-def cumulated(weights: Column) -> Column:
-    """``sum, lanes ARRAY<STRUCT<upto, lane>>``: running sums of the positive weights, in order of lanes."""
-    positive = F.filter(weights, lambda w: w["weight"] > 0)
-    start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<struct<upto:double,lane:string>>").alias("lanes"))
-    return F.aggregate(
-        positive,
-        start,
-        lambda a, w: F.struct((a["sum"] + w["weight"]).alias("sum"), F.concat(a["lanes"], F.array(F.struct((a["sum"] + w["weight"]).alias("upto"), w["lane"].alias("lane")))).alias("lanes")),
-    )
+_SLOTS = pa.schema([("run_id", pa.string()), ("stage", pa.string()), ("ord", pa.int32()), ("step", pa.int64()), ("sequence_length", pa.int32()), ("slot", pa.int32()), ("lane", pa.string())])
+#: Steps that one row of a stage makes at once.
+_STEPS = 256
 
 
-def pick(sums: Column, draw: Column) -> Column:
-    """The lane whose part of the running sums holds ``draw`` of the total; the last one at the very end."""
-    threshold = draw * sums["sum"]
-    inside = F.filter(sums["lanes"], lambda x: threshold < x["upto"])
-    return F.coalesce(F.get(inside, F.lit(0))["lane"], F.try_element_at(sums["lanes"], F.lit(-1))["lane"])
+@lru_cache(maxsize=2048)
+def _draws(seed: str, block: int, batch: int) -> np.ndarray:
+    """``uniform(seed, 'lane', step, slot)`` of the steps of a block, which all runs share."""
+    keys = (f"{seed}:lane:{step}:{slot}" for step in range(block * _STEPS, (block + 1) * _STEPS) for slot in range(batch))
+    return np.array([int.from_bytes(hashlib.sha256(k.encode()).digest()[:8], "big") / 2**64 for k in keys]).reshape(_STEPS, batch)
 
 
-def slots(at_step: DataFrame, seed: str, batch: int = BATCH) -> DataFrame:
-    """Lane of each (step, slot); computed from the step alone, so any step can be asked for by itself."""
-    steps_ = at_step.select("run_id", "stage", "ord", "step", "sequence_length", cumulated(F.col("weights")).alias("sums"))
-    rows = steps_.select("*", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))).alias("slot"))
-    return rows.withColumn("lane", pick(F.col("sums"), uniform(F.lit(seed), F.lit("lane"), F.col("step"), F.col("slot")))).drop("sums")
+def slots(mixed: DataFrame, seed: str, batch: int = BATCH) -> DataFrame:
+    """Lane of each (step, slot) of the stages of ``stage_mixtures``: ``run_id, stage, ord, step, sequence_length, slot, lane``.
+
+    Weights change only in a warm-up, so a stage's running sums are made once for a block of steps, and a step needs
+    nothing of the steps before it. The draw of a slot is that of ``uniform``; a slot takes the lane whose part of the
+    sum of weights holds it, none where no lane has any.
+    """
+    ship(mixed.sparkSession)
+    entries = lambda c: F.array_sort(F.map_entries(c))
+    warm = F.floor(F.col("warmup_tokens") / (F.col("sequence_length") * batch)).cast("bigint")
+    blocks = F.explode(F.sequence(F.expr(f"step_start div {_STEPS}"), F.expr(f"(step_end - 1) div {_STEPS}"))).alias("block")
+    rows = mixed.filter("step_end > step_start").select("run_id", "stage", F.col("ord").cast("int"), "step_start", "step_end", "sequence_length", warm.alias("warm"), entries("mixture_now").alias("now"), entries("mixture_before").alias("before"), blocks)
+
+    def run(batches):
+        for rows_ in batches:
+            for r in rows_.to_pylist():
+                low, high = max(r["step_start"], r["block"] * _STEPS), min(r["step_end"], (r["block"] + 1) * _STEPS)
+                steps_ = np.arange(low, high)
+                now = {e["key"]: e["value"] for e in r["now"]}
+                before = {e["key"]: e["value"] for e in r["before"] or ()}
+                ramps = r["before"] is not None and (r["warm"] or 0) > 0
+                progress = np.minimum(1.0, (steps_ - r["step_start"]) / r["warm"]) if ramps else np.ones(len(steps_))
+                lanes = sorted(now.keys() | before.keys()) if ramps else sorted(now)
+                a, b = (np.array([x.get(k) or 0.0 for k in lanes], "f8") for x in (now, before))
+                weights = np.where(progress[:, None] >= 1, a, (1 - progress[:, None]) * b + progress[:, None] * a)
+                sums = np.cumsum(np.maximum(weights, 0), axis=1) if lanes else np.zeros((len(steps_), 1))
+                draw = _draws(seed, r["block"], batch)[low - r["block"] * _STEPS : high - r["block"] * _STEPS] * sums[:, -1:]
+                inside = draw[:, :, None] < sums[:, None, :]
+                last = (weights > 0).shape[1] - 1 - (weights > 0)[:, ::-1].argmax(axis=1) if lanes else np.zeros(len(steps_), "i8")
+                at = np.where(inside.any(axis=2), inside.argmax(axis=2), last[:, None]).ravel()
+                names = pa.array(lanes or [None], pa.string()).take(pa.array(at))
+                if not lanes or not (sums[:, -1] > 0).all():
+                    names = pa.array([x if ok else None for x, ok in zip(names.to_pylist(), np.repeat(sums[:, -1] > 0, batch))], pa.string())
+                n = len(at)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(r[c], _SLOTS.field(c).type), n) if c in ("run_id", "stage", "ord", "sequence_length") else pa.array(np.repeat(steps_, batch)) if c == "step" else pa.array(np.tile(np.arange(batch, dtype="i4"), len(steps_))) if c == "slot" else names for c in _SLOTS.names],
+                    schema=_SLOTS,
+                )
+
+    parallel = mixed.sparkSession.sparkContext.defaultParallelism  # stages are few and their steps many, so they are dealt out
+    return rows.repartition(4 * parallel).mapInArrow(run, "run_id string, stage string, ord int, step bigint, sequence_length int, slot int, lane string")

@@ -129,13 +129,13 @@ def merge_pairs(spark, folder):
 @query("pck_1_one_step", _PACK_SQL + " select slot, lane, document_id, w_start, w_end from seg2 where step = 5")
 def one_step(spark, folder):
     """The windows of a step, from the step's own intervals: nothing before it is packed."""
-    return packed(spark, folder).filter("step = 5").select("slot", "lane", "document_id", "w_start", "w_end")
+    return packed(spark, folder, steps=(5, 6)).select("slot", "lane", "document_id", "w_start", "w_end")
 
 
 @query("pck_5_attention", _PACK_SQL + ", p as (select seg_no, w_start + k as position from seg2, range(512) r(k) where step = 0 and slot = 0 and w_start + k < w_end) select i.position as i, j.position as j from p i join p j on i.seg_no = j.seg_no and j.position <= i.position")
 def attention(spark, folder):
     """Positions of one window that see each other: same segment, not ahead."""
-    rows = packed(spark, folder).filter("step = 0 and slot = 0").select("w_start", F.explode(F.sequence("w_start", F.col("w_end") - 1)).alias("i"))
+    rows = packed(spark, folder, steps=(0, 1)).filter("slot = 0").select("w_start", F.explode(F.sequence("w_start", F.col("w_end") - 1)).alias("i"))
     return rows.select("i", F.explode(F.sequence("w_start", "i")).alias("j"))
 
 

@@ -12,43 +12,51 @@ from quern.plans.schedule import SEED
 from quern.plans.shards import _BINS_SQL, shard_spans
 from quern.runtime import materialise, table
 
-#: The curriculum of these queries: (stage, token_start, token_end, sequence_length, mixture, floors, warm-up, policy).
+#: The curriculum of these queries, as shares of the corpus' own tokens, all of which it serves once over:
+#: (stage, start, end, sequence_length, mixture, floors, warm-up, policy).
 LANES = ("code", "general_web", "indic", "instruction", "math_science")
 CURRICULUM = (
-    ("foundation", 0, 200_000, 256, (0.2, 0.5, 0.05, 0.1, 0.15), (0.0, 0.0, 0.02, 0.0, 0.0), 0, "repeat"),
-    ("expansion", 200_000, 400_000, 512, (0.3, 0.25, 0.15, 0.1, 0.2), (0.0, 0.0, 0.05, 0.0, 0.0), 40_000, "reduce_share"),
-    ("anneal", 400_000, 480_000, 512, (0.25, 0.15, 0.1, 0.3, 0.2), (0.0, 0.0, 0.0, 0.05, 0.0), 20_000, "repeat"),
+    ("foundation", 0.0, 0.4, 256, (0.2, 0.5, 0.05, 0.1, 0.15), (0.0, 0.0, 0.02, 0.0, 0.0), 0.0, "repeat"),
+    ("expansion", 0.4, 0.8, 512, (0.3, 0.25, 0.15, 0.1, 0.2), (0.0, 0.0, 0.05, 0.0, 0.0), 0.08, "reduce_share"),
+    ("anneal", 0.8, 1.0, 512, (0.25, 0.15, 0.1, 0.3, 0.2), (0.0, 0.0, 0.0, 0.05, 0.0), 0.04, "repeat"),
 )
+#: Token positions of stages are multiples of this, whole steps of every sequence length.
+ALIGN = 4096
 WIDTH = 512
 MICROBATCH = 4
 
 
 def schedule(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(spans, mixture by step, slots) of the curriculum with the corpus' own supply."""
+    """(spans, stages with their mixtures, slots) of the curriculum with the corpus' own supply."""
     spans = materialise(shard_spans(spark, folder), "spans")  # the frozen manifests: all that follows reads them
     supply = spans.groupBy("lane").agg(F.sum(F.col("end_token") - F.col("start_token")).alias("available"))
-    rows = [("run", *s[:4], s[6], s[7]) for s in CURRICULUM]
+    total = supply.agg(F.sum("available")).first()[0] or 0
+    at = lambda share: int(total * share) // ALIGN * ALIGN
+    rows = [("run", s[0], at(s[1]), at(s[2]), s[3], at(s[6]), s[7]) for s in CURRICULUM]
     stages = S.steps(spark.createDataFrame(rows, "run_id string, stage string, token_start bigint, token_end bigint, sequence_length int, warmup_tokens bigint, scarcity_policy string"))
     weights = [("run", s[0], lane, w, f) for s in CURRICULUM for lane, w, f in zip(LANES, s[4], s[5])]
     shares = spark.createDataFrame(weights, "run_id string, stage string, lane string, weight double, floor_weight double")
     lanes = shares.join(stages.select("run_id", "stage", "ord", (F.col("token_end") - F.col("token_start")).alias("span"), F.col("scarcity_policy").alias("policy")), ["run_id", "stage"]).join(supply, "lane", "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    steps = materialise(S.at_steps(S.stage_mixtures(stages, S.compile_lanes(lanes))).select("run_id", "stage", "ord", "step", "sequence_length", "weights"), "steps")
-    return spans, steps, S.slots(steps, SEED)
+    mixed = materialise(S.stage_mixtures(stages, S.compile_lanes(lanes)), "mixtures")
+    return spans, mixed, materialise(S.slots(mixed, SEED), "slots")
 
 
-def packed(spark, folder, seed: str = SEED, frozen: tuple | None = None) -> DataFrame:
-    """Segments of every window of the curriculum."""
+def packed(spark, folder, seed: str = SEED, frozen: tuple | None = None, steps: tuple[int, int] | None = None) -> DataFrame:
+    """Segments of every window of the curriculum, or of a range of steps: windows of other steps are never filled."""
     spans, _, slots = frozen or schedule(spark, folder)
     wins = P.windows(slots)
+    if steps:
+        wins = materialise(wins.filter((F.col("step") >= steps[0]) & (F.col("step") < steps[1])), "windows")
     return P.segments(wins, P.stream(spans, wins, seed), WIDTH)
 
 
-_CUR_SQL = ", ".join(f"('{s[0]}', {s[1]}, {s[2]}, {s[3]}, {s[6]}, '{s[7]}', {k + 1})" for k, s in enumerate(CURRICULUM))
+_CUR_SQL = ", ".join(f"('{s[0]}', {s[1]}::double, {s[2]}::double, {s[3]}, {s[6]}::double, '{s[7]}', {k + 1})" for k, s in enumerate(CURRICULUM))
 _MIX_SQL = ", ".join(f"('{s[0]}', '{lane}', {w}::double, {f}::double)" for s in CURRICULUM for lane, w, f in zip(LANES, s[4], s[5]))
 _B = S.BATCH
 _PACK_SQL = (
     _BINS_SQL
-    + f""", c0(stage, token_start, token_end, len, warmup, policy, ord) as (values {_CUR_SQL}), m0(stage, lane, weight, fl) as (values {_MIX_SQL}),
+    + f""", tot as (select coalesce(sum(end_token - start_token), 0)::bigint as t from s), c1(stage, a, b, len, w, policy, ord) as (values {_CUR_SQL}),
+c0 as (select stage, floor(t * a)::bigint // {ALIGN} * {ALIGN} as token_start, floor(t * b)::bigint // {ALIGN} * {ALIGN} as token_end, len, floor(t * w)::bigint // {ALIGN} * {ALIGN} as warmup, policy, ord from c1, tot), m0(stage, lane, weight, fl) as (values {_MIX_SQL}),
 c as (select *, (sum(k) over (order by ord) - k)::bigint as step_start, sum(k) over (order by ord)::bigint as step_end from (select *, (token_end - token_start) // (len * {_B}) as k from c0)),
 sup as (select lane, sum(end_token - start_token)::double as available from s group by 1),
 l as (select c.stage, c.ord, m0.lane, weight, weight * (token_end - token_start) as target, fl * (token_end - token_start) as floor, policy, (token_end - token_start) as span, coalesce(available, 0) as available from c join m0 using (stage) left join sup using (lane)),
@@ -82,7 +90,7 @@ def epoch_order(spark, folder):
 
 @query("jon_7_segments", _PACK_SQL + " select step, slot, lane, shard_id, document_id, w_start, w_end, s_start, s_end from seg2")
 def segments(spark, folder):
-    return packed(spark, folder).drop("sequence_length", "response_start_token")
+    return packed(spark, folder).drop("stage", "sequence_length", "response_start_token")
 
 
 @query("win_12_segment_ids", _PACK_SQL + " select step, slot, w_start, seg_no::int as segment from seg2")
@@ -131,59 +139,106 @@ def microbatches(spark, folder):
 
 # --- ledger, replay, audit ---------------------------------------------------------------------------------------------------
 
+# 1.0 and 0.0 as float32 in the order of bytes of a ledger.
+ONE, ZERO = "0000803f", "00000000"
+VERSION = "1"
+
 _LEDGER_SQL = (
     _PACK_SQL
-    + f""", sample as (select step, slot, lane, stage, len, string_agg(shard_id || ':' || s_start || '-' || s_end, ',' order by w_start) as spans, count(*) as segments, sum(w_end - w_start)::bigint as served, sum(useful)::bigint as useful from seg2 group by all),
-ledger as (select step, slot // {MICROBATCH} as mb, stage, 'mb-' || step || '-' || (slot // {MICROBATCH}) as batch_id, string_agg(lane, ',' order by slot) as lanes, string_agg(spans, ';' order by slot) as spans, sum(segments)::bigint as segments, sum(served)::bigint as served from sample group by all)"""
+    + f""", sample as (select step, slot, lane, stage, len, string_agg(shard_id || ':' || s_start || '-' || s_end, ',' order by w_start) as spans, list(shard_id order by w_start) as shards, count(*) as segments, sum(w_end - w_start)::bigint as served, sum(useful)::bigint as useful,
+  string_agg(repeat('{ZERO}', prompt::int) || repeat('{ONE}', (w_end - w_start - prompt)::int), '' order by w_start) as mask0 from seg2 group by all),
+ledger as (select 'run' as run_id, 'main' as branch_id, step, slot // {MICROBATCH} as mb, 0 as rank, stage, 'mb-' || step || '-' || (slot // {MICROBATCH}) as batch_id, string_agg('ps-' || step || '-' || slot, ',' order by slot) as sample_ids, string_agg(lane, ',' order by slot) as lanes,
+  array_to_string(list_sort(list_distinct(flatten(list(shards)))), ',') as shard_ids, string_agg(spans, ';' order by slot) as spans, 'sha256:' || sha256(unhex(string_agg(substring(mask0, 1, length(mask0) - 8) || '{ZERO}', '' order by slot))) as loss_mask_hash,
+  'causal+segment' as attention_policy, 'reset_per_segment' as position_policy, 'bytes' as tokenizer_version, '{VERSION}' as dataloader_version, null::varchar as decision_id, sum(segments)::bigint as segments, sum(served)::bigint as served from sample group by step, slot // {MICROBATCH}, stage)"""
 )
 
 
-def sample_rows(spark, folder, seed: str = SEED, frozen: tuple | None = None) -> DataFrame:
-    frozen = frozen or schedule(spark, folder)
-    rows, steps = packed(spark, folder, seed, frozen), frozen[1]
+def sample_rows(spark, folder, seed: str = SEED, frozen: tuple | None = None, steps: tuple[int, int] | None = None) -> DataFrame:
+    """A row a window, with what it holds and the hash of its loss mask."""
+    rows = packed(spark, folder, seed, frozen, steps)
     span = F.concat("shard_id", F.lit(":"), "s_start", F.lit("-"), "s_end")
-    one = rows.groupBy("step", "slot", "lane", "sequence_length").agg(
+    return rows.groupBy("step", "slot", "stage", "lane", "sequence_length").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w_start", span.alias("span")))), lambda x: x["span"]), ",").alias("spans"),
         F.array_sort(F.collect_set("shard_id")).alias("shards"),
         F.count("*").alias("segments"),
         F.sum(F.col("w_end") - F.col("w_start")).alias("served"),
         F.sum(P.useful_tokens()).alias("useful"),
+        mask_bytes(),
     )
-    return one.join(steps.select("step", "stage"), "step")
 
 
-def ledger(samples: DataFrame) -> DataFrame:
-    """A ledger entry a microbatch, a pure function of its samples."""
+def mask_bytes() -> Column:
+    """``mask``: a window's loss mask as the hexadecimal digits of its float32 numbers."""
+    part = F.concat(F.repeat(F.lit(ZERO), P.prompt_tokens().cast("int")), F.repeat(F.lit(ONE), (F.col("w_end") - F.col("w_start") - P.prompt_tokens()).cast("int")))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w_start", part.alias("mask")))), lambda x: x["mask"]), "")
+    return F.concat(F.left(whole, F.length(whole) - 8), F.lit(ZERO)).alias("mask")  # the last position has no target
+
+
+def ledger(samples: DataFrame, run: str = "run", branch: str = "main", decision: str | None = None) -> DataFrame:
+    """A ledger entry a microbatch, a pure function of its samples: all the fields of an entry, and its sums."""
     place = F.expr(f"slot div {MICROBATCH}")
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("slot", c))), lambda x: x[c])
-    return samples.groupBy("step", place.alias("mb"), "stage").agg(
-        F.array_join(ordered("lane"), ",").alias("lanes"), F.array_join(ordered("spans"), ";").alias("spans"), F.sum("segments").alias("segments"), F.sum("served").alias("served")
-    ).withColumn("batch_id", F.format_string("mb-%d-%d", "step", "mb"))
+    ids = F.format_string("ps-%d-%d", "step", "slot")
+    rows = samples.withColumn("id", ids).groupBy("step", place.alias("mb"), "stage").agg(
+        F.array_join(ordered("id"), ",").alias("sample_ids"),
+        F.array_join(ordered("lane"), ",").alias("lanes"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shards")))), ",").alias("shard_ids"),
+        F.array_join(ordered("spans"), ";").alias("spans"),
+        F.concat(F.lit("sha256:"), F.sha2(F.unhex(F.array_join(ordered("mask"), "")), 256)).alias("loss_mask_hash"),
+        F.sum("segments").alias("segments"),
+        F.sum("served").alias("served"),
+    )
+    fixed = {"run_id": run, "branch_id": branch, "rank": 0, "attention_policy": "causal+segment", "position_policy": "reset_per_segment", "tokenizer_version": "bytes", "dataloader_version": VERSION}
+    rows = rows.withColumns({c: F.lit(v) for c, v in fixed.items()}).withColumn("decision_id", F.lit(decision).cast("string"))
+    return rows.withColumn("batch_id", F.format_string("mb-%d-%d", "step", "mb")).select(*ENTRY, "segments", "served")
 
 
-@query("led_1_entries", _LEDGER_SQL + " select step, mb, stage, batch_id, lanes, spans, segments, served from ledger")
+#: Fields of an entry.
+ENTRY = ("run_id", "branch_id", "step", "mb", "batch_id", "rank", "stage", "sample_ids", "lanes", "shard_ids", "spans", "loss_mask_hash", "attention_policy", "position_policy", "tokenizer_version", "dataloader_version", "decision_id")
+#: Fields that a replay compares.
+COMPARED = ("sample_ids", "spans", "loss_mask_hash")
+
+
+@query("led_1_entries", _LEDGER_SQL + f" select {', '.join(ENTRY)}, segments, served from ledger")
 def entries(spark, folder):
     return ledger(sample_rows(spark, folder))
 
 
-@query("rpl_1_replay", _LEDGER_SQL + " select step, mb, true as lanes_match, true as spans_match, true as served_match from ledger where step >= 10 and step < 60")
-def replay(spark, folder):
-    """Recorded entries against recomputed ones; a missing one is a mismatch."""
+def compared(recorded: DataFrame, again: DataFrame) -> DataFrame:
+    """Recorded entries against recomputed ones, by ``COMPARED``; an entry that can't be recomputed matches in nothing."""
+    other = again.select("step", "mb", *[F.col(c).alias(f"{c}_2") for c in COMPARED])
+    return recorded.join(other, ["step", "mb"], "left").select("step", "mb", *[F.col(c).eqNullSafe(F.col(f"{c}_2")).alias(f"{c}_match") for c in COMPARED])
+
+
+def stored_ledger(spark, folder, frozen: tuple) -> DataFrame:
+    """The ledger of the curriculum as it was written to storage."""
+    return materialise(ledger(sample_rows(spark, folder, frozen=frozen)), "ledger")
+
+
+@query("rpl_1_replay", _LEDGER_SQL + f" select step, mb, {', '.join(f'{c} is not null as {c}_match' for c in COMPARED)} from ledger where step >= 10 and step < 60")
+def replay(spark, folder, start: int = 10, end: int = 60):
+    """Entries of a range of steps in the stored ledger against entries recomputed for these steps from frozen manifests."""
     frozen = schedule(spark, folder)
-    recorded = ledger(sample_rows(spark, folder, frozen=frozen)).filter("step >= 10 and step < 60")
-    again = ledger(sample_rows(spark, folder, frozen=frozen)).select("step", "mb", *[F.col(c).alias(f"{c}_2") for c in ("lanes", "spans", "served")])
-    return recorded.join(again, ["step", "mb"], "left").select("step", "mb", *[F.col(c).eqNullSafe(F.col(f"{c}_2")).alias(f"{c}_match") for c in ("lanes", "spans", "served")])
+    recorded = stored_ledger(spark, folder, frozen).filter((F.col("step") >= start) & (F.col("step") < end))
+    return compared(recorded, ledger(sample_rows(spark, folder, frozen=frozen, steps=(start, end))))
 
 
 @query("rpl_2_one_step", _LEDGER_SQL + " select mb, lanes, spans from ledger where step = 40")
 def one_step(spark, folder):
-    return ledger(sample_rows(spark, folder)).filter("step = 40").select("mb", "lanes", "spans")
+    return ledger(sample_rows(spark, folder, steps=(40, 41))).select("mb", "lanes", "spans")
 
 
-@query("rpl_3_resume", _LEDGER_SQL + " select max(step) + 1 as next_step, true as verified from ledger")
+@query("rpl_3_resume", _LEDGER_SQL + " select max(step) + 1 as next_step, count_if(step = (select max(step) from ledger)) = any_value(n) as verified from ledger, (select count(*) as n from ledger where step = (select max(step) from ledger) and spans is not null and loss_mask_hash is not null) group by n")
 def resume(spark, folder):
-    rows = ledger(sample_rows(spark, folder))
-    return rows.agg((F.max("step") + 1).alias("next_step"), (F.count_if(F.col("spans").isNull()) == 0).alias("verified"))
+    """A resume is right if the last stored step can be recomputed entry by entry."""
+    frozen = schedule(spark, folder)
+    recorded = stored_ledger(spark, folder, frozen)
+    last = recorded.agg(F.max("step")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], "next_step bigint, verified boolean")
+    rows = compared(recorded.filter(F.col("step") == last), ledger(sample_rows(spark, folder, frozen=frozen, steps=(last, last + 1))))
+    same = F.bool_and(F.col("sample_ids_match") & F.col("spans_match") & F.col("loss_mask_hash_match"))
+    return rows.agg((F.max("step") + 1).alias("next_step"), same.alias("verified"))
 
 
 @query("jon_12_fork_divergence")
@@ -215,7 +270,7 @@ def audit(spark, folder):
 
 @query("agg_10_audit_range", _LEDGER_SQL + " select count(*) as samples, sum(served)::bigint as served, count(distinct step) as steps from sample where step >= 20 and step < 80")
 def audit_range(spark, folder):
-    rows = sample_rows(spark, folder).filter("step >= 20 and step < 80")
+    rows = sample_rows(spark, folder, steps=(20, 80))
     return rows.agg(F.count("*").alias("samples"), F.sum("served").alias("served"), F.count_distinct("step").alias("steps"))
 
 
@@ -231,7 +286,8 @@ def exact_useful(spark, folder):
 select coalesce(p.lane, a.lane) as lane, round(coalesce(planned, 0), 6) as planned, round(coalesce(actual, 0), 6) as actual, round(coalesce(actual, 0) - coalesce(planned, 0), 6) as delta from planned p full outer join actual a on a.lane = p.lane""",
 )
 def compliance(spark, folder):
-    _, steps, slot_rows = schedule(spark, folder)
+    _, mixed, slot_rows = schedule(spark, folder)
+    steps = S.at_steps(mixed)
     weights = steps.select("step", F.inline("weights"))
     share = F.col("weight") / F.sum("weight").over(Window.partitionBy("step"))
     count = steps.agg(F.count_distinct("step").alias("steps"))  # one row
@@ -262,3 +318,22 @@ def shards_of_samples(spark, folder):
 def attention_pairs(spark, folder):
     """Pairs of positions that may see each other (same segment, not ahead), counted without making them."""
     return packed(spark, folder).groupBy("step", "slot").agg(F.sum(F.expr("(w_end - w_start) * (w_end - w_start + 1) div 2")).alias("pairs"))
+
+
+@query("pck_4_best_fit")
+def best_fit(spark, folder):
+    """Segments of the curriculum's windows when documents are chosen by how well they fit."""
+    spans, _, slot_rows = schedule(spark, folder)
+    return P.best_fit_segments(P.windows(slot_rows), spans, SEED).drop("stage", "sequence_length", "response_start_token")
+
+
+ROOMS = (16, 64, 256, 1024, 4096)
+
+
+@query("srt_6_best_choice", _BINS_SQL + f", r(room) as (values {', '.join(f'({x})' for x in ROOMS)}) select lane, room, coalesce(arg_max(document_id, (n, -doc_id)) filter (n <= room), arg_min(document_id, (n, doc_id))) as document_id from (select lane, document_id, doc_id, (end_token - start_token)::bigint as n from s), r group by all")
+def best_choice(spark, folder):
+    """Of each lane's documents the longest that fits a room, else the shortest; the earliest of one length."""
+    docs = shard_spans(spark, folder).select("lane", "document_id", "doc_id", (F.col("end_token") - F.col("start_token")).alias("n"))
+    rooms = [F.struct(F.lit(x).alias("room"), F.max_by("document_id", F.when(F.col("n") <= x, F.struct("n", -F.col("doc_id")))).alias("fits")) for x in ROOMS]
+    rows = docs.groupBy("lane").agg(F.array(*rooms).alias("rooms"), F.min_by("document_id", F.struct("n", "doc_id")).alias("least"))
+    return rows.select("lane", F.explode("rooms").alias("r"), "least").select("lane", "r.room", F.coalesce("r.fits", "least").alias("document_id"))

@@ -139,7 +139,7 @@ slots as (select d.run_id, d.step, d.slot, coalesce(min(case when u * total < up
 
 @query("cur_1_lane_slots", _SLOT_SQL + " select run_id, lane, count(*) as slots, sum(step * 8 + slot)::bigint as checksum from slots group by all")
 def lane_slots(spark, folder):
-    rows = S.slots(step_table(spark, folder), SEED).filter("lane is not null")
+    rows = S.slots(S.stage_mixtures(*compiled(spark, folder)), SEED).filter("lane is not null")
     return rows.groupBy("run_id", "lane").agg(F.count("*").alias("slots"), F.sum(F.col("step") * 8 + F.col("slot")).alias("checksum"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import order
 from quern.plans.catalog import query
-from quern.plans.text import _DOCS_SQL, corpus
+from quern.plans.text import _DOCS_SQL, numbered
 from quern.runtime import table
 
 BUDGET = 100_000
@@ -20,7 +20,16 @@ _KEYS_SQL = f"with {_CORPUS_SQL}, {_REGISTRY_SQL}"
 
 
 def hashed_corpus(spark, folder) -> DataFrame:
-    return corpus(table(spark, folder, "documents")).withColumnRenamed("capability_lane", "lane").withColumn("content_hash", T.digest(F.col("text")))
+    """Documents that have text, as narrow rows: ids, lane, hash, byte tokens with the end token, start of the response.
+
+    All that is asked of a text is computed where it is read, so texts don't shuffle.
+    """
+    text = F.col("text")
+    cut = T.marker(text)
+    response = F.when(F.col("lane") == "instruction", F.when(cut.isNull(), 0).otherwise(F.octet_length(F.substring(text, F.lit(1), cut))))
+    rows = table(spark, folder, "documents").select("doc_id", "source", "domain", "lang", T.lane(F.col("domain"), F.col("lang")).alias("lane"), T.strip(text).alias("text"))
+    narrow = rows.select("doc_id", "source", "domain", "lang", "lane", T.digest(text).alias("content_hash"), (F.octet_length("text") + 1).alias("n"), response.cast("int").alias("response"), (F.coalesce(text, F.lit("")) != "").alias("_some"))
+    return numbered(narrow).filter("_some").drop("_some")
 
 
 def registry(spark, folder) -> DataFrame:
@@ -128,9 +137,7 @@ def scan_in_order(spark, folder):
 
 def tokenized(spark, folder) -> DataFrame:
     """Byte tokens of each document: its length with the end token, and where the response starts (instruction lane)."""
-    cut = T.marker(F.col("text"))
-    prompt = F.when(F.col("lane") == "instruction", F.when(cut.isNull(), 0).otherwise(F.octet_length(F.substring(F.col("text"), F.lit(1), cut))))
-    return hashed_corpus(spark, folder).select("document_id", "doc_id", "source", "lang", "lane", (F.octet_length("text") + 1).alias("n"), prompt.cast("int").alias("response"))
+    return hashed_corpus(spark, folder).select("document_id", "doc_id", "source", "lang", "lane", "n", "response")
 
 
 _TOKEN_SQL = f"""tokens as (select document_id, doc_id, source, lang, lane, (strlen(text) + 1)::int as n, case when lane = 'instruction' then coalesce(strlen(substring(text, 1, m - 1)), 0)::int end as response

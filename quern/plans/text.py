@@ -360,26 +360,30 @@ def diagnosis(spark, folder):
 _DOCS_SQL = f"""select 'doc-' || lpad((row_number() over (order by doc_id) - 1)::varchar, 6, '0') as document_id, doc_id, source, domain, lang, {_sql_strip('text')} as text from documents"""
 
 
-def corpus(documents: DataFrame) -> DataFrame:
-    """Documents with trimmed texts, none of them empty, and ids by their place in the whole table.
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of documents (without their texts) with ids by their place in the whole table.
 
     The place is counted by slices of the key, so no task sees all rows.
     """
-    sliced = documents.withColumn("_slice", F.floor(F.col("doc_id") / 4096))
+    sliced = rows.withColumn("_slice", F.floor(F.col("doc_id") / 4096))
     sizes = sliced.groupBy("_slice").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = sliced.withColumn("_row", F.row_number().over(Window.partitionBy("_slice").orderBy("doc_id"))).join(starts.drop("_n"), "_slice")
-    ordinal = F.col("_start") + F.col("_row") - 1
-    return (
-        placed.select(F.format_string("doc-%06d", ordinal).alias("document_id"), "doc_id", "source", "domain", "lang", T.strip(F.col("text")).alias("text"))
-        .filter("text is not null and text <> ''")
-        .withColumn("capability_lane", T.lane(F.col("domain"), F.col("lang")))
-    )
+    return placed.withColumn("document_id", F.format_string("doc-%06d", F.col("_start") + F.col("_row") - 1)).drop("_slice", "_row", "_start")
+
+
+def corpus(documents: DataFrame) -> DataFrame:
+    """Documents with trimmed texts, none of them empty, and ids by their place in the whole table.
+
+    Places are counted over ids alone; texts move once, to their ids.
+    """
+    texts = documents.select("doc_id", "source", "domain", "lang", T.strip(F.col("text")).alias("text")).filter("text is not null and text <> ''")
+    return numbered(documents.select("doc_id")).join(texts, "doc_id").select("document_id", "doc_id", "source", "domain", "lang", "text")
 
 
 @query("src_10_corpus", f"select * from ({_DOCS_SQL}) where text <> ''")
 def load_corpus(spark, folder):
-    return corpus(table(spark, folder, "documents")).drop("capability_lane")
+    return corpus(table(spark, folder, "documents"))
 
 
 @query("src_7_parquet", "select doc_id, text from documents")
