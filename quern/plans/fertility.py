@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.plans.catalog import query
-from quern.runtime import table
+from quern.runtime import materialise, table
 
 _LANGS = ("en", "hi", "mr", "te")
 _UNITS = r"[\p{L}\p{M}\p{N}]+|[^\s\p{Z}\x{85}\x0b\p{L}\p{M}\p{N}]"
@@ -44,10 +44,10 @@ def spread(spark, folder):
     return by_language(spark, folder).agg(F.round(gap, 6).alias("spread"), F.round(F.try_divide(F.lit(1000.0), gap), 4).alias("score"))
 
 
-@query("agg_23_penalty", f"with {_BASE_SQL} select round(exp(greatest(0, max(case when lang = 'hi' then ratio end) / 100.0 - 0.001)), 6) as penalty, round(1000 / nullif(max(ratio) - min(ratio), 0) / exp(greatest(0, max(case when lang = 'hi' then ratio end) / 100.0 - 0.001)), 4) as adjusted from f")
+@query("agg_23_penalty", f"with {_BASE_SQL} select round(exp(greatest(0, max(case when lang = 'hi' then ratio end) / 1.2::double - 1)), 6) as penalty, round(1000 / nullif(max(ratio) - min(ratio), 0) / exp(greatest(0, max(case when lang = 'hi' then ratio end) / 1.2::double - 1)), 4) as adjusted from f")
 def penalty(spark, folder):
     hindi = F.max(F.when(F.col("lang") == "hi", F.col("ratio")))
-    factor = F.exp(F.greatest(F.lit(0.0), hindi / 100.0 - 0.001))
+    factor = F.exp(F.greatest(F.lit(0.0), hindi / 1.2 - 1))
     score = F.try_divide(F.lit(1000.0), F.max("ratio") - F.min("ratio"))
     return by_language(spark, folder).agg(F.round(factor, 6).alias("penalty"), F.round(score / factor, 4).alias("adjusted"))
 
@@ -120,10 +120,14 @@ def classes(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("script", named.otherwise("Other"))
 
 
-@query("agg_24_script_classes", f"with {_GROUP_SQL} select script, count(*) as n, round(count(*) * 100.0::double / sum(count(*)) over (), 4) as percent from (select {_CLASS_SQL} as script from {_FLAG_SQL}) group by 1")
+@query("agg_24_script_classes", f"with {_GROUP_SQL}, c as (select token, {_CLASS_SQL} as script from {_FLAG_SQL}) select script, count(*) as n, round(count(*) * 100.0::double / sum(count(*)) over (), 4) as percent, case when script = 'mixed' then array_to_string(list_slice(list_sort(list_distinct(list(token))), 1, 20), ' ') end as examples from c group by 1")
 def script_classes(spark, folder):
-    rows = classes(token_groups(spark, folder)).groupBy("script").agg(F.count("*").alias("n"))
-    return rows.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 4))  # a row a class
+    """Tokens by class of script, with the first 20 mixed ones as examples (of which each task keeps 20)."""
+    tokens = materialise(classes(token_groups(spark, folder)).select("token", "script"), "classes")
+    rows = tokens.groupBy("script").agg(F.count("*").alias("n"))
+    first = tokens.filter("script = 'mixed'").select("token").distinct().orderBy("token").limit(20).agg(F.lit("mixed").alias("script"), F.array_join(F.array_sort(F.collect_list("token")), " ").alias("examples"))
+    counted = rows.withColumn("percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 4))  # a row a class
+    return counted.join(F.broadcast(first), "script", "left")
 
 
 @query("prj_20_token_class", f"with {_GROUP_SQL} select distinct token, {_CLASS_SQL} as script from {_FLAG_SQL}")
@@ -131,20 +135,34 @@ def token_class(spark, folder):
     return classes(token_groups(spark, folder)).select("token", "script").distinct()
 
 
-@query("agg_25_pair_counts", "select a, b, count(*) as n from (select substring(w, i, 1) as a, substring(w, i + 1, 1) as b from (select w, unnest(range(1, length(w)::bigint)) as i from (select unnest(string_split(text, ' ')) as w from documents where text is not null) where length(w) between 2 and 20)) group by all")
+@query("agg_25_pair_counts", "select a, b, count(*) as n from (select substring(w, i, 1) as a, substring(w, i + 1, 1) as b from (select w, unnest(range(1, length(w)::bigint)) as i from (select unnest(string_split(text, ' ')) as w from documents where text is not null) where length(w) >= 2)) group by all")
 def pair_counts(spark, folder):
     """Counts of neighbouring characters of words: of each different word once, times its frequency."""
-    words = table(spark, folder, "documents").filter("text is not null").select(F.explode(F.split("text", " ", -1)).alias("w")).filter("length(w) between 2 and 20")
+    words = table(spark, folder, "documents").filter("text is not null").select(F.explode(F.split("text", " ", -1)).alias("w")).filter("length(w) >= 2")
     counted = words.groupBy("w").agg(F.count("*").alias("n"))
     pairs = counted.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.struct(F.substr("w", i, F.lit(1)).alias("a"), F.substr("w", i + 1, F.lit(1)).alias("b")))).alias("p"))
     return pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n"))
 
 
-@query("set_6_script_union", f"with {_GROUP_SQL} select a.grp, count(*) as pairs from g a join g b on a.token = b.token and a.grp < b.grp group by 1")
+_MERGE_SQL = r"""m as (select distinct substring(token, 1, 1) as a, substring(token, 2) as b from g where length(token) >= 2),
+f as (select a, b, list_distinct(list_concat(sa, sb)) as scripts from (select a, b, sa, sb from m join (select token as a, scripts as sa from x) using (a) join (select token as b, scripts as sb from x) using (b)))"""
+_SETS_SQL = r"""x as (select token, list_filter([case when regexp_matches(token, '[\x{0904}-\x{0939}\x{093d}\x{0950}\x{0958}-\x{0961}\x{0971}-\x{097f}]') then 'Devanagari' end, case when regexp_matches(token, '[\x{0c05}-\x{0c39}\x{0c3d}\x{0c58}-\x{0c61}]') then 'Telugu' end, case when regexp_matches(token, '\p{Latin}') then 'Latin' end], lambda s: s is not null) as scripts from (select a as token from m0 union select b from m0))"""
+
+
+def script_set(token: str) -> Column:
+    """The scripts of a token's letters."""
+    return F.array_compact(F.array(*[F.when(flag, F.lit(name)) for name, flag in script(token).items()]))
+
+
+@query(
+    "set_6_script_union",
+    f"with {_GROUP_SQL}, m0 as (select distinct substring(token, 1, 1) as a, substring(token, 2) as b from g where length(token) >= 2), {_SETS_SQL}, {_MERGE_SQL} select array_to_string(list_sort(scripts), '+') as scripts, count(*) as merges from f group by 1",
+)
 def script_union(spark, folder):
-    g = token_groups(spark, folder)
-    a, b = g.select("grp", "token"), g.select(F.col("grp").alias("other"), "token")
-    return a.join(b, "token").filter("grp < other").groupBy("grp").agg(F.count("*").alias("pairs"))
+    """Merges (a token's first character and the rest) by the union of both sides' scripts."""
+    merges = token_groups(spark, folder).filter("length(token) >= 2").select(F.substring("token", 1, 1).alias("a"), F.expr("substring(token, 2)").alias("b")).distinct()
+    union = F.array_union(script_set("a"), script_set("b"))
+    return merges.groupBy(F.array_join(F.array_sort(union), "+").alias("scripts")).agg(F.count("*").alias("merges"))
 
 
 @query("set_1_union_of_lanes", "select lane from (select distinct capability_lane as lane from shard_manifests union select distinct k from (select unnest(map_keys(mixture)) as k from mixture_stages)) where lane is not null")

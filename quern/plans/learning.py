@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators import packing as P
+from quern.operators import schedule as S
 from quern.plans.catalog import query
 from quern.plans.packing import _PACK_SQL, packed, sample_rows, schedule
 from quern.plans.schedule import _STAGE_SQL, stage_table
 from quern.plans.shards import _CORPUS_SQL, hashed_corpus
-from quern.runtime import table
+from quern.runtime import materialise, ship, spread, table
 
 REJECT_BELOW, DEFER_ABOVE = 4.0, 7.5
 PROTECTED = ("indic",)
@@ -60,16 +65,36 @@ def repeated_pass(spark, folder):
 # --- selection -----------------------------------------------------------------------------------------------------------------
 
 
+def letter_counts(documents: DataFrame) -> DataFrame:
+    """``doc_id, c, n`` of the characters of each document's whole trimmed text, counted where it is read."""
+    ship(documents.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            docs, chars, counts = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = Counter(text)
+                docs += [doc] * len(found)
+                chars += found.keys()
+                counts += found.values()
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(chars, pa.string()), pa.array(counts, pa.int64())], ["doc_id", "c", "n"])
+
+    texts = documents.select("doc_id", T.strip(F.col("text")).alias("text")).filter("text is not null and text <> ''")
+    return spread(texts).mapInArrow(run, "doc_id bigint, c string, n bigint")
+
+
 def scored(spark, folder) -> DataFrame:
-    """Score of each document by a unigram model of the corpus' characters: mean -ln p; less than two give 0.0."""
-    docs = hashed_corpus(spark, folder).select("document_id", "lane", "text")
-    letters = docs.select("document_id", "lane", F.explode(F.split(F.substring("text", 1, 512), "")).alias("c")).filter("c <> ''")
-    per_doc = letters.groupBy("document_id", "lane", "c").agg(F.count("*").alias("n"))
+    """Score of each document by a unigram model of the corpus' characters: mean -ln p; less than two give 0.0.
+
+    Whole texts make the model and are scored. The model has a row a character of Unicode at most, so it is broadcast.
+    """
+    per_doc = materialise(letter_counts(table(spark, folder, "documents")), "letters")
     counts = per_doc.groupBy("c").agg(F.sum("n").alias("total"))
     everything = counts.agg(F.sum("total").alias("all"))  # one row
     model = counts.join(F.broadcast(everything), how="cross").select("c", (-F.ln(F.col("total") / F.col("all"))).alias("cost"))
     mean = F.sum(F.col("n") * F.col("cost")) / F.sum("n")
-    return per_doc.join(model, "c").groupBy("document_id", "lane").agg(F.round(F.when(F.sum("n") < 2, 0.0).otherwise(mean), 6).alias("score"), F.sum("n").alias("n"))
+    scores_ = per_doc.join(F.broadcast(model), "c").groupBy("doc_id").agg(F.round(F.when(F.sum("n") < 2, 0.0).otherwise(mean), 6).alias("score"), F.sum("n").alias("n"))
+    return hashed_corpus(spark, folder).select("document_id", "doc_id", "lane").join(scores_, "doc_id").drop("doc_id")
 
 
 def decided(scores: DataFrame, reject: float, defer: float, protected: tuple[str, ...]) -> DataFrame:
@@ -80,7 +105,7 @@ def decided(scores: DataFrame, reject: float, defer: float, protected: tuple[str
     return rows.select("document_id", "lane", "score", F.when(F.col("override"), "accepted").otherwise(F.col("raw")).alias("status"), F.when(~F.col("override"), reason).alias("reason"), "override")
 
 
-_SCORE_SQL = f"""with {_CORPUS_SQL}, ch as (select document_id, lane, c, count(*) as n from (select document_id, lane, unnest(list_transform(range(1, least(length(text), 512)::bigint + 1), lambda i: substring(text, i, 1))) as c from corpus) group by all),
+_SCORE_SQL = f"""with {_CORPUS_SQL}, ch as (select document_id, lane, c, count(*) as n from (select document_id, lane, unnest(list_transform(range(1, length(text)::bigint + 1), lambda i: substring(text, i, 1))) as c from corpus) group by all),
 cost as (select c, -ln(sum(n) / (select sum(n) from ch)::double) as cost from ch group by 1),
 score as (select document_id, lane, round(case when sum(n) < 2 then 0 else sum(n * cost) / sum(n) end, 6) as score from ch join cost using (c) group by all),
 raw as (select *, case when score < {REJECT_BELOW} then 'rejected' when score > {DEFER_ABOVE} then 'deferred' else 'accepted' end as raw from score),
@@ -234,17 +259,17 @@ def lineages(spark, folder):
 
 _STITCH_SQL = (
     _CHAIN_SQL
-    + """, seg as (select run_id, branch_id, ancestor, coalesce(fork_step + 1, 0) as low, coalesce(lead(fork_step) over (partition by run_id, branch_id order by level desc) + 1, 1000000) as high from chain),
-st as (select g.run_id, g.branch_id, l.global_step, l.shard_id from seg g join learning_ledger l on l.run_id = g.run_id and l.branch_id = g.ancestor and l.global_step >= low and l.global_step < high)"""
+    + """, seg as (select run_id, branch_id, ancestor, coalesce(fork_step + 1, 0) as low, lead(fork_step) over (partition by run_id, branch_id order by level desc) + 1 as high from chain),
+st as (select g.run_id, g.branch_id, l.global_step, l.shard_id from seg g join learning_ledger l on l.run_id = g.run_id and l.branch_id = g.ancestor and l.global_step >= low and (high is null or l.global_step < high))"""
 )
 
 
 def stitched(spark, folder) -> DataFrame:
-    """Entries of a branch's whole history, each ancestor clipped at the fork after it."""
+    """Entries of a branch's whole history, each ancestor clipped at the fork after it; the branch's own part is open."""
     order = Window.partitionBy("run_id", "branch_id").orderBy(F.col("level").desc())
-    parts = lineage(edges(spark, folder)).select("run_id", "branch_id", "ancestor", F.coalesce(F.col("fork_step") + 1, F.lit(0)).alias("low"), F.coalesce(F.lead("fork_step").over(order) + 1, F.lit(1000000)).alias("high"))
+    parts = lineage(edges(spark, folder)).select("run_id", "branch_id", "ancestor", F.coalesce(F.col("fork_step") + 1, F.lit(0)).alias("low"), (F.lead("fork_step").over(order) + 1).alias("high"))
     log = table(spark, folder, "learning_ledger").select("run_id", F.col("branch_id").alias("ancestor"), "global_step", "shard_id")
-    return parts.join(log, ["run_id", "ancestor"]).filter("global_step >= low and global_step < high").select("run_id", "branch_id", "global_step", "shard_id")
+    return parts.join(log, ["run_id", "ancestor"]).filter("global_step >= low and (high is null or global_step < high)").select("run_id", "branch_id", "global_step", "shard_id")
 
 
 @query("jon_16_stitched", _STITCH_SQL + " select run_id, branch_id, global_step, count(*) as n from st group by all")
@@ -302,11 +327,18 @@ def upsert(spark, folder):
     return fresh.unionByName(old.join(fresh, "key", "left_anti"))
 
 
+def ordered_by(rows: DataFrame, key: str, first: list[str]) -> DataFrame:
+    """``key, place`` of a bounded set of keys: ``first`` in its order, then the others; an unknown one in it raises."""
+    known = {r[0] for r in rows.filter(F.col(key).isin(*first)).distinct().collect()}
+    if unknown := [k for k in first if k not in known]:
+        raise ValueError(f"unknown {key}: {', '.join(unknown)}")
+    ranks = F.coalesce(*[F.when(F.col(key) == k, n) for n, k in enumerate(first)], F.lit(len(first)))
+    return rows.select(key, F.row_number().over(Window.orderBy(ranks, key)).alias("place"))
+
+
 @query("jon_18_custom_order", "select domain, (row_number() over (order by coalesce(case domain when 'code' then 0 when 'web' then 1 end, 99), domain))::int as place from (select distinct domain from documents where domain is not null)")
 def custom_order(spark, folder):
-    ranks = spark.createDataFrame([("code", 0), ("web", 1)], "domain string, rank int")
-    rows = table(spark, folder, "documents").filter("domain is not null").select("domain").distinct().join(F.broadcast(ranks), "domain", "left")
-    return rows.select("domain", F.row_number().over(Window.orderBy(F.coalesce("rank", F.lit(99)), "domain")).alias("place"))
+    return ordered_by(table(spark, folder, "documents").filter("domain is not null").select("domain").distinct(), "domain", ["code", "web"])
 
 
 @query("rep_1_profiles", "select coalesce(source, '') as key, count(*) as n_docs, coalesce(sum(length(text)), 0)::bigint as chars, count_if(coalesce(trim(text), '') = '')::bigint as empty from documents group by 1")
@@ -320,11 +352,16 @@ def percent(spark, folder):
     return table(spark, folder, "clean_records").select("id", "script_purity").distinct().select("id", shown.alias("value"))
 
 
-@query("win_7_ramp", "select run_id, stage, global_step, round(least(1, global_step / 400.0::double), 6) as progress from (select distinct l.run_id, s.stage, l.global_step from learning_ledger l join (select distinct run_id, stage from mixture_stages) s on s.run_id = l.run_id where s.stage = 'foundation')")
+@query(
+    "win_7_ramp",
+    f"with {_STAGE_SQL}, warm as (select *, warmup_tokens // (sequence_length * {S.BATCH}) as warm from stage) select run_id, stage, step, round(case when ord > 1 and warm > 0 then least(1, (step - step_start) / warm::double) else 1 end, 6) as progress from (select *, unnest(range(step_start, step_end)) as step from warm)",
+)
 def ramp(spark, folder):
-    named = table(spark, folder, "mixture_stages").filter("stage = 'foundation'").select("run_id", "stage").distinct()
-    rows = table(spark, folder, "learning_ledger").select("run_id", "global_step").distinct().join(named, "run_id")
-    return rows.select("run_id", "stage", "global_step", F.round(F.least(F.lit(1.0), F.col("global_step") / 400.0), 6).alias("progress"))
+    """Progress of each step between the mixture before and its stage's own; a run's first stage never ramps."""
+    stages = stage_table(table(spark, folder, "mixture_stages")).filter("step_end > step_start")
+    warm = F.floor(F.col("warmup_tokens") / (F.col("sequence_length") * S.BATCH))
+    progress = F.when((F.col("ord") > 1) & (warm > 0), F.least(F.lit(1.0), (F.col("step") - F.col("step_start")) / warm)).otherwise(1.0)
+    return stages.withColumn("step", F.explode(F.sequence("step_start", F.col("step_end") - 1))).select("run_id", "stage", "step", F.round(progress, 6).alias("progress"))
 
 
 @query("win_21_snapshots", "select run_id, global_step from (select distinct run_id, global_step, max(global_step) over (partition by run_id) as last from learning_ledger) where global_step % 50 = 0 or global_step = last")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
+from quern.operators.order import running
 from quern.plans.catalog import query
-from quern.runtime import table
+from quern.plans.text import _DOMINANT_SQL, _MOST, _TOTAL, _sql_counts
+from quern.runtime import ship, spread, table
 
 # --- vectors -----------------------------------------------------------------------------------------------------------------
 
@@ -26,21 +33,53 @@ def unit(a: Column) -> Column:
     return F.transform(a, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
 
 
-def neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest vectors (by cosine, ties by id) of each query, itself left out.
+def neighbours(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The ``k`` nearest vectors (by cosine, ties by id) of each query, itself left out: ``query_id, vec_id, similarity, n``.
 
-    Queries are a stated set of checked size, sent to all rows; of each query only ``k`` rows a partition survive
-    the first ranking, so the second sees a bounded number.
+    Queries are sent to all rows in blocks of about ``block``, by one pass over the vectors each, so what is broadcast
+    has a fixed size; similarities are matrix products, of which a task keeps the best ``k`` of each query.
     """
-    size = queries.count()
-    if size > 20_000:
-        raise ValueError(f"{size} queries at once; run them in blocks")
-    asked = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
-    pairs = vectors.join(asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("similarity"))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(64))
-    order = [F.col("similarity").desc(), F.col("vec_id")]
-    some = pairs.withColumn("n", F.row_number().over(Window.partitionBy("query_id", part).orderBy(*order))).filter(F.col("n") <= k)
-    return some.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("n") <= k)
+    ship(vectors.sparkSession)
+    asked = queries.select("vec_id", "embedding")
+    number = -(-asked.count() // block)
+    rows = spread(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null and embedding is not null"))
+    found = [_nearest(rows, asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(number)) == part), k) for part in range(number)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, similarity double, n int")
+    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
+    return reduce(DataFrame.unionByName, found).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    some = asked.collect()  # a block
+    names = np.array([r.vec_id for r in some], "i8")
+    matrix = np.array([r.embedding for r in some], "f8")
+    norms = np.sqrt((matrix**2).sum(axis=1)) if len(some) else np.zeros(0)
+    shared = rows.sparkSession.sparkContext.broadcast((names, matrix, norms))
+
+    def run(batches):
+        names, matrix, norms = shared.value
+        best = None
+        for batch in batches:
+            if not len(batch) or not len(names):
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            own = np.array(batch.column(1).to_pylist(), "f8")
+            size = np.sqrt((own**2).sum(axis=1))
+            scale = norms[:, None] * size[None, :]
+            near = np.where(scale > 0, matrix @ own.T / np.where(scale > 0, scale, 1), 0.0).round(6) + 0.0
+            near[names[:, None] == ids[None, :]] = -np.inf
+            ids = np.broadcast_to(ids, near.shape)
+            if best is not None:
+                ids, near = np.concatenate([best[0], ids], axis=1), np.concatenate([best[1], near], axis=1)
+            order = np.lexsort((ids, -near), axis=1)[:, :k]
+            best = np.take_along_axis(ids, order, axis=1), np.take_along_axis(near, order, axis=1)
+        if best is not None:
+            query, (ids, near) = np.repeat(names, best[0].shape[1]), (x.ravel() for x in best)
+            kept = np.isfinite(near)
+            yield pa.RecordBatch.from_arrays([pa.array(query[kept]), pa.array(ids[kept]), pa.array(near[kept])], ["query_id", "vec_id", "similarity"])
+
+    return rows.mapInArrow(run, "query_id bigint, vec_id bigint, similarity double")
 
 
 _COS = "round(case when list_dot_product(a.embedding::double[], a.embedding::double[]) > 0 and list_dot_product(b.embedding::double[], b.embedding::double[]) > 0 then list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) / sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])) else 0 end, 6)"
@@ -71,18 +110,36 @@ def units(spark, folder):
 
 
 def covariance(vectors: DataFrame) -> DataFrame:
-    """``i, j, cov`` of the vectors' dimensions (i <= j), with n - 1; sums of products are pre-aggregated map-side."""
-    places = vectors.select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    means = F.broadcast(places.groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("mean")))  # a row a dimension
-    centred = places.join(means, "i").groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("i", (F.col("x") - F.col("mean")).alias("c")))).alias("v"))
-    pairs = centred.select(F.explode("v").alias("a"), "v").select("a", F.explode("v").alias("b")).filter("a.i <= b.i")
-    return pairs.groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg((F.sum(F.col("a.c") * F.col("b.c")) / F.greatest(F.count("*") - 1, F.lit(1))).alias("cov"))
-
+    """``i, j, cov`` of all dimensions of the vectors (i <= j), with n - 1 (1 at least).
 
-@query("agg_26_covariance", "with p as (select vec_id, unnest(range(len(embedding))) as i, unnest(embedding::double[]) as x from embeddings) select a.i::int as i, b.i::int as j, round(covar_samp(a.x, b.x), 6) as cov from p a join p b on a.vec_id = b.vec_id and a.i <= b.i where a.i < 6 and b.i < 6 group by all")
+    A task adds up X and its products with itself around the first vector as origin; only d (d + 1) / 2 sums a task
+    shuffle. Null vectors and those of another length than the first don't count.
+    """
+    ship(vectors.sparkSession)
+    rows = vectors.select(F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding is not null and size(embedding) > 0")
+    first = rows.first()
+    schema = "i int, j int, n bigint, si double, sj double, sij double"
+    if first is None:
+        return vectors.sparkSession.createDataFrame([], "i int, j int, cov double")
+    origin = np.array(first.embedding)
+
+    def run(batches):
+        d = len(origin)
+        n, sums, products = 0, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            if len(batch):
+                x = np.array(batch.column(0).to_pylist()) - origin
+                n, sums, products = n + len(x), sums + x.sum(axis=0), products + x.T @ x
+        i, j = np.triu_indices(d)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (i.astype("i4"), j.astype("i4"), np.full(len(i), n), sums[i], sums[j], products[i, j])], ["i", "j", "n", "si", "sj", "sij"])
+
+    parts = spread(rows.filter(F.size("embedding") == len(origin))).mapInArrow(run, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
+    return parts.select("i", "j", ((F.col("sij") - F.col("si") * F.col("sj") / F.col("n")) / F.greatest(F.col("n") - 1, F.lit(1))).alias("cov"))
+
+
+@query("agg_26_covariance", "with p as (select vec_id, unnest(range(len(embedding))) as i, unnest(embedding::double[]) as x from embeddings) select a.i::int as i, b.i::int as j, round(covar_samp(a.x, b.x), 6) as cov from p a join p b on a.vec_id = b.vec_id and a.i <= b.i group by all")
 def covariances(spark, folder):
-    rows = table(spark, folder, "embeddings").withColumn("embedding", F.slice("embedding", 1, 6))
-    return covariance(rows).withColumn("cov", F.round("cov", 6))
+    return covariance(table(spark, folder, "embeddings")).withColumn("cov", F.round("cov", 6))
 
 
 @query("ml_6_projection")
@@ -110,13 +167,14 @@ def linear_classifier(spark, folder):
 
 @query("ml_2_hidden_layer")
 def hidden_layer(spark, folder):
-    """Classifier with one hidden layer over the first dimensions; held-out accuracy."""
+    """Classifier with one hidden layer over all dimensions; held-out accuracy."""
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = table(spark, folder, "embeddings").select("vec_id", (F.col("label") % 2).cast("double").alias("label"), array_to_vector(F.slice("embedding", 1, 8).cast("array<double>")).alias("features"))
+    rows = table(spark, folder, "embeddings").select("vec_id", (F.col("label") % 2).cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     test = F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0
-    model = MultilayerPerceptronClassifier(layers=[8, 6, 2], maxIter=30, seed=3).fit(rows.filter(~test))
+    width = rows.first().features.size
+    model = MultilayerPerceptronClassifier(layers=[width, 6, 2], maxIter=30, seed=3).fit(rows.filter(~test))
     return model.transform(rows.filter(test)).agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("prediction")).cast("double")), 4).alias("accuracy"))
 
 
@@ -124,10 +182,12 @@ def hidden_layer(spark, folder):
 def word_vectors(spark, folder):
     """Skip-gram vectors of synthetic sentences (an analogue: the reference trains a next-word softmax)."""
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
     rows = sentences(spark, 400).select(F.array("a", "b", "c").alias("words"))
     vectors = Word2Vec(vectorSize=4, minCount=1, seed=5, inputCol="words", outputCol="v").fit(rows).getVectors()
-    return vectors.select("word")
+    v = vector_to_array("vector")
+    return vectors.select("word", *[F.round(v[i], 6).alias(f"v{i}") for i in range(4)])
 
 
 @query("ml_3_features", "select l_orderkey, l_linenumber, round(l_quantity / 50.0, 6) as x, round(l_discount * 10, 6) as y, (l_returnflag = 'R')::int as label from lineitem")
@@ -146,10 +206,16 @@ def grid_points(spark, folder):
     return grid(-1.0, 1.0, 25, spark).select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
-@query("ml_4_boundary", "select round(x, 9) as x, round(y, 9) as y, (x * x + y * y < 0.5)::int as label from (select -1 + a * (2.0::double / 24) as x, -1 + b * (2.0::double / 24) as y from range(25) t(a), range(25) u(b))")
+@query("ml_4_boundary")
 def boundary(spark, folder):
-    inside = (F.col("x") * F.col("x") + F.col("y") * F.col("y") < 0.5).cast("int")
-    return grid(-1.0, 1.0, 25, spark).select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), inside.alias("label"))
+    """Probabilities of a model, trained on the points of ``src_16_rings``, over the cells of a grid."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    points = rings(spark, folder).select(F.col("label").cast("double").alias("label"), array_to_vector(F.array("x", "y")).alias("features"))
+    model = MultilayerPerceptronClassifier(layers=[2, 8, 2], maxIter=60, seed=3).fit(points)
+    cells = grid(-3.0, 3.0, 25, spark).withColumn("features", array_to_vector(F.array("x", "y")))
+    return model.transform(cells).select(F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), F.round(vector_to_array("probability")[1], 6).alias("p"), F.col("prediction").cast("int").alias("label"))
 
 
 @query("agg_27_bounds", "select label, round(min(x) - case when max(x) = min(x) then 1 else 0.1 * (max(x) - min(x)) end, 6) as low, round(max(x) + case when max(x) = min(x) then 1 else 0.1 * (max(x) - min(x)) end, 6) as high from (select label, embedding[1]::double as x from embeddings) group by 1")
@@ -160,9 +226,16 @@ def bounds(spark, folder):
     return rows.groupBy("label").agg(F.round(F.min("x") - pad, 6).alias("low"), F.round(F.max("x") + pad, 6).alias("high"))
 
 
-@query("agg_28_gap", "select run_id, round(abs(min(avg_token_loss) - max(avg_token_loss)), 6) as gap from learning_ledger where avg_token_loss is not null group by 1")
+_RIGHT_SQL = "select vec_id % 5 = 0 as test, label, (embedding[1] > 0) = (label % 2 = 1) as correct from embeddings"
+
+
+@query("agg_28_gap", f"select label, round(abs(avg(case when not test then correct::int end) - avg(case when test then correct::int end)), 6) as gap from ({_RIGHT_SQL}) group by 1 having gap is not null")
 def gap(spark, folder):
-    return table(spark, folder, "learning_ledger").filter("avg_token_loss is not null").groupBy("run_id").agg(F.round(F.abs(F.min("avg_token_loss") - F.max("avg_token_loss")), 6).alias("gap"))
+    """Distance of a rule's accuracy on training rows and on test rows; groups that lack either have none and are left out."""
+    correct = ((F.col("embedding")[0] > 0) == (F.col("label") % 2 == 1)).cast("int")
+    rows = table(spark, folder, "embeddings").select("label", (F.col("vec_id") % 5 == 0).alias("test"), correct.alias("correct"))
+    accuracy = lambda test: F.avg(F.when(F.col("test") == test, F.col("correct")))
+    return rows.groupBy("label").agg(F.round(F.abs(accuracy(False) - accuracy(True)), 6).alias("gap")).filter("gap is not null")
 
 
 @query("agg_33_groups", "select label, count(*) as n, min(vec_id) as first from embeddings group by 1")
@@ -205,10 +278,11 @@ def chunked_loss(spark, folder):
     return chunks.agg(F.round(F.sum("s") / F.sum("n"), 6).alias("loss"))
 
 
-@query("sup_17_loss_difference", "select true as equal")
+@query("sup_17_loss_difference", f"with c as (select vec_id, {_CE} as loss from ({_LOGITS})) select round((select avg(loss) from c), 6) as whole, round((select sum(s) / sum(n) from (select sum(loss) as s, count(*) as n from c group by vec_id // 32)), 6) as chunked, abs((select avg(loss) from c) - (select sum(s) / sum(n) from (select sum(loss) as s, count(*) as n from c group by vec_id // 32))) < 1e-5 as equal")
 def loss_difference(spark, folder):
-    whole = logits(spark, folder).agg(F.avg("loss").alias("a"))
-    return whole.join(chunked_loss(spark, folder), how="cross").select((F.abs(F.col("a") - F.col("loss")) < 1e-5).alias("equal"))
+    """Mean loss over all positions and over chunks, and whether they agree."""
+    whole = logits(spark, folder).agg(F.avg("loss").alias("whole"))
+    return whole.join(chunked_loss(spark, folder).withColumnRenamed("loss", "chunked"), how="cross").select(F.round("whole", 6).alias("whole"), "chunked", (F.abs(F.col("whole") - F.col("chunked")) < 1e-5).alias("equal"))
 
 
 @query("sup_16_mean_loss", f"select round(avg({_CE}), 6) as loss from ({_LOGITS})")
@@ -260,17 +334,22 @@ def bigrams(spark, folder):
     return arrays(spark, folder).select(pairs.alias("p")).select("p.a", "p.b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-@query("jon_19_word_index", f"with v as (select w, (row_number() over (order by n desc, w) - 1)::int as place from (select w, count(*) as n from ({_WORDS_SQL}) group by 1) order by n desc, w limit 100) select doc_id, i::int as i, place from ({_WORDS_SQL}) join v using (w)")
+@query("jon_19_word_index", f"with v as (select w, row_number() over (order by n desc, w) - 1 as place from (select w, count(*) as n from ({_WORDS_SQL}) group by 1)) select doc_id, i::int as i, place from ({_WORDS_SQL}) join v using (w)")
 def word_index(spark, folder):
+    """Place of each word of each document in the whole vocabulary (most frequent words first).
+
+    Places are running counts over parts of (count, first characters), so no task orders the vocabulary.
+    """
     words = word_table(spark, folder)
-    top = words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "w").limit(100)
-    vocabulary = top.select("w", (F.row_number().over(Window.orderBy(F.col("n").desc(), "w")) - 1).alias("place"))  # 100 rows
-    return words.join(F.broadcast(vocabulary), "w").select("doc_id", "i", "place")
+    counted = words.groupBy("w").agg(F.count("*").alias("n")).withColumn("g", F.lit(0))
+    part = F.struct(-F.col("n"), F.substring("w", 1, 2))
+    vocabulary = running(counted.withColumn("less", -F.col("n")), ["g"], ["less", "w"], F.lit(1), part, "place").select("w", "place")
+    return words.join(vocabulary, "w").select("doc_id", "i", "place")
 
 
-@query("arr_2_concat", "select doc_id, array_to_string(list_concat(string_split(text, ' ')[1:3], ['<eos>']), ' ') as joined from documents where text is not null")
+@query("arr_2_concat", "select doc_id, array_to_string(list_concat(string_split(text, ' '), ['<eos>']), ' ') as joined from documents where text is not null")
 def concat(spark, folder):
-    return arrays(spark, folder).select("doc_id", F.array_join(F.concat(F.slice("w", 1, 3), F.array(F.lit("<eos>"))), " ").alias("joined"))
+    return arrays(spark, folder).select("doc_id", F.array_join(F.concat("w", F.array(F.lit("<eos>"))), " ").alias("joined"))
 
 
 @query("arr_3_truncated", "select doc_id, least(len(string_split(text, ' ')), 64)::int as n from documents where text is not null")
@@ -278,17 +357,19 @@ def truncated(spark, folder):
     return arrays(spark, folder).select("doc_id", F.size(F.slice("w", 1, 64)).alias("n"))
 
 
-@query("arr_4_padded", "select doc_id, array_to_string(list_resize(string_split(text, ' ')[1:8], 8, '<pad>'), ' ') as padded from documents where text is not null")
-def padded(spark, folder):
-    cut = F.slice("w", 1, 8)
-    return arrays(spark, folder).select("doc_id", F.array_join(F.concat(cut, F.array_repeat(F.lit("<pad>"), F.lit(8) - F.size(cut))), " ").alias("padded"))
+@query("arr_4_padded", "select doc_id, array_to_string(list_resize(string_split(text, ' '), greatest(256, len(string_split(text, ' '))), '<pad>'), ' ') as padded from documents where text is not null")
+def padded(spark, folder, length: int = 256):
+    """Texts shorter than ``length`` words get padding; longer ones stay as they are."""
+    room = F.greatest(F.lit(length) - F.size("w"), F.lit(0))
+    return arrays(spark, folder).select("doc_id", F.array_join(F.concat("w", F.array_repeat(F.lit("<pad>"), room)), " ").alias("padded"))
 
 
-@query("arr_5_separated", "select doc_id // 64 as batch, string_agg(split_part(text, ' ', 1), ' <sep> ' order by doc_id) as line from documents where text is not null group by 1")
+@query("arr_5_separated", "select doc_id // 64 as batch, string_agg(text, ' <sep> ' order by doc_id) as line from documents where text is not null group by 1")
 def separated(spark, folder):
-    rows = table(spark, folder, "documents").filter("text is not null").select(F.expr("doc_id div 64").alias("batch"), "doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("first"))
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "first")))  # at most 64 rows a batch
-    return rows.groupBy("batch").agg(F.array_join(F.transform(ordered, lambda x: x["first"]), " <sep> ").alias("line"))
+    """Whole texts of batches of 64 ids, in order, with a separator between them."""
+    rows = table(spark, folder, "documents").filter("text is not null").select(F.expr("doc_id div 64").alias("batch"), "doc_id", "text")
+    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "text")))  # at most 64 rows a batch
+    return rows.groupBy("batch").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " <sep> ").alias("line"))
 
 
 @query("arr_6_one_hot", "select vec_id, array_to_string(list_transform(range(10), lambda i: (i = label % 10)::int), '') as code from embeddings")
@@ -336,11 +417,17 @@ def crops(spark, folder, batch: int = 16, length: int = 32, seed: int = 9):
     return rows.select("doc_id", "b", F.array_join(F.slice("w", start + 1, F.lit(length)), " ").alias("crop"))
 
 
-@query("srt_10_split", "select doc_id, case when substring(sha256(doc_id::varchar), 1, 2) < '33' then 'test' when substring(sha256(doc_id::varchar), 1, 2) < '40' then 'train-small' else 'train' end as part from documents")
+@query("srt_10_split", "with d as (select doc_id, sha256(doc_id::varchar) as h from documents), t as (select doc_id, row_number() over (order by h, doc_id) as n from d where substring(h, 1, 2) >= '33') select d.doc_id, substring(h, 1, 2) < '33' as test, coalesce(n <= 20, false) as first_20, coalesce(n <= 200, false) as first_200, coalesce(n <= 2000, false) as first_2000 from d left join t using (doc_id)")
 def split(spark, folder):
-    """Test and nested training parts by a hash of the id: a filter, not an order of all rows."""
-    key = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 2)
-    return table(spark, folder, "documents").select("doc_id", F.when(key < "33", "test").when(key < "40", "train-small").otherwise("train").alias("part"))
+    """A permutation by hashes of ids: a fifth is for tests, and of the rest 20, 200 and 2,000 rows are nested prefixes.
+
+    Only the longest prefix is ordered (a top-k); all other rows are told by their hash alone.
+    """
+    rows = table(spark, folder, "documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    test = F.substring("h", 1, 2) < "33"
+    first = rows.filter(~test).orderBy("h", "doc_id").limit(2000).select("doc_id", F.row_number().over(Window.orderBy("h", "doc_id")).alias("n"))
+    marked = rows.join(F.broadcast(first), "doc_id", "left")
+    return marked.select("doc_id", test.alias("test"), *[F.coalesce(F.col("n") <= k, F.lit(False)).alias(f"first_{k}") for k in (20, 200, 2000)])
 
 
 @query("srt_7_limit", "select doc_id from documents order by doc_id limit 100")
@@ -348,11 +435,17 @@ def limit(spark, folder):
     return table(spark, folder, "documents").orderBy("doc_id").limit(100).select("doc_id")
 
 
-@query("srt_5_tied_argmax", "select label, arg_min(vec_id, (-round(embedding[1], 1), vec_id)) as vec_id from embeddings group by 1")
+@query(
+    "srt_5_tied_argmax",
+    f"with c as (select id, {_sql_counts('text')} from clean_records where text is not null) select id, {_DOMINANT_SQL} as dominant_script, {_TOTAL}::int as letters, ({' + '.join(f'({s} = {_MOST})::int' for s in T.SCRIPTS)})::int as tied from c where {_MOST} > 0",
+)
 def tied_argmax(spark, folder):
-    """The largest value, the earliest row at a tie."""
-    key = F.struct(-F.round(F.col("embedding")[0], 1), F.col("vec_id"))
-    return table(spark, folder, "embeddings").groupBy("label").agg(F.min_by("vec_id", key).alias("vec_id"))
+    """The script of most letters, at a tie the first in the order of the scripts, and how many share the place."""
+    counts = T.script_counts(F.col("text"))
+    most = F.greatest(*counts.values())
+    tied = sum(((n == most).cast("int") for n in counts.values()), F.lit(0))
+    rows = table(spark, folder, "clean_records").filter("text is not null").filter(most > 0)
+    return rows.select("id", T.dominant(counts).alias("dominant_script"), sum(counts.values(), F.lit(0)).alias("letters"), tied.alias("tied"))
 
 
 @query("str_26_absolute_links")
@@ -362,10 +455,17 @@ def absolute_links(spark, folder):
     return urls.select("doc_id", F.when(F.col("url").startswith("//"), F.concat(F.lit("https:"), "url")).otherwise(F.col("url")).alias("url"))
 
 
-@query("sup_18_projected_words", "select vec_id, label, round(embedding[1]::double, 6) as x, round(embedding[2]::double, 6) as y from embeddings")
+@query("sup_18_projected_words")
 def projected(spark, folder):
-    e = F.col("embedding")
-    return table(spark, folder, "embeddings").select("vec_id", "label", F.round(e[0].cast("double"), 6).alias("x"), F.round(e[1].cast("double"), 6).alias("y"))
+    """Words with their category and the plane of their vectors' first two principal components."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    kinds = {"animal": ("cat", "dog", "fox", "owl"), "verb": ("eats", "likes", "sees"), "fruit": ("apples", "grapes", "plums", "pears")}
+    category = F.create_map(*[F.lit(x) for kind, words in kinds.items() for w in words for x in (w, kind)])
+    rows = word_vectors(spark, folder).select("word", array_to_vector(F.array(*[F.col(f"v{i}") for i in range(4)])).alias("features"))
+    p = vector_to_array("p")
+    return PCA(k=2, inputCol="features", outputCol="p").fit(rows).transform(rows).select("word", category[F.col("word")].alias("category"), F.round(p[0], 6).alias("x"), F.round(p[1], 6).alias("y"))
 
 
 @query("sup_19_sample")
