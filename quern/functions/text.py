@@ -214,3 +214,17 @@ def first_difference(a: Column, b: Column) -> Column:
 
     common = F.aggregate(F.sequence(F.lit(1), F.lit(32)), pair(F.lit(0), F.least(F.length(a), F.length(b))), halve)["low"]
     return F.when(a != b, common)
+
+
+def repaired(name: str) -> Column:
+    """A text column repaired by ftfy if it is installed, else as it is."""
+    try:
+        import ftfy
+    except ImportError:
+        return F.col(name)
+
+    @F.pandas_udf("string")
+    def fix(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: ftfy.fix_text(x) if isinstance(x, str) else None)
+
+    return fix(name)

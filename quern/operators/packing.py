@@ -54,7 +54,7 @@ def segments(wins: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return pairs.select(
         "step",
         "slot",
-        "stage",
+        *[c for c in ("stage",) if c in wins.columns],
         "lane",
         "sequence_length",
         "shard_id",
@@ -142,7 +142,7 @@ def useful_tokens() -> Column:
 def samples(segs: DataFrame) -> DataFrame:
     """One row a window: its segments in order, and per position the segment, the place in it and the loss mask."""
     entry = F.struct("w_start", "w_end", "shard_id", "document_id", "s_start", "s_end", prompt_tokens().alias("prompt"))
-    packed = segs.groupBy("step", "slot", "stage", "lane", "sequence_length").agg(F.array_sort(F.collect_list(entry)).alias("segments"))
+    packed = segs.groupBy("step", "slot", "lane", "sequence_length").agg(F.array_sort(F.collect_list(entry)).alias("segments"))
     size = lambda s: (s["w_end"] - s["w_start"]).cast("int")
     segment = F.flatten(F.transform("segments", lambda s, i: F.array_repeat(i, size(s))))
     position = F.flatten(F.transform("segments", lambda s: F.sequence(F.lit(0), size(s) - 1)))

@@ -77,6 +77,14 @@ def require_supply(compiled: DataFrame) -> None:
         raise ScarcityError(f"run {bad[0].run_id}, stage {bad[0].stage}: lane {bad[0].lane} has no tokens")
 
 
+def positive(weights: DataFrame) -> DataFrame:
+    """Rows of positive ``weight``; raises if there is none."""
+    rows = weights.filter("weight > 0")
+    if not rows.head(1):
+        raise ValueError("no lane has a positive weight")
+    return rows
+
+
 def steps(stages: DataFrame, batch: int = BATCH) -> DataFrame:
     """``step_start, step_end`` of each stage: spans are whole steps of ``sequence_length * batch`` tokens."""
     length = F.floor((F.col("token_end") - F.col("token_start")) / (F.col("sequence_length") * batch)).cast("bigint")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.operators import config
 from quern.operators import packing as P
+from quern.operators import schedule as S
 from quern.plans.catalog import query
 from quern.plans.fertility import _ATOMS, _GROUP_SQL, _UNITS, atoms, token_groups
 from quern.plans.packing import _PACK_SQL, packed, schedule
@@ -164,10 +165,15 @@ def space_pretokens(spark, folder):
     return table(spark, folder, "documents").filter("text is not null").select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
 
 
-@query("mth_4_normal_numbers")
+_UNIFORM_SQL = "(('0x' || substring(sha256('{0}:' || doc_id || ':{1}'), 1, 16))::ubigint)::double / 18446744073709551616.0"
+
+
+@query("mth_4_normal_numbers", f"select doc_id, round(sqrt(-2 * ln(greatest(u, 1e-300))) * cos(2 * pi() * v), 6) as z from (select doc_id, {_UNIFORM_SQL.format(SEED, 'u')} as u, {_UNIFORM_SQL.format(SEED, 'v')} as v from documents)")
 def normal_numbers(spark, folder):
-    """Mean and deviation of standard normal numbers."""
-    return spark.range(20_000).select(F.randn(7).alias("x")).agg(F.round(F.avg("x"), 2).alias("mean"), F.round(F.stddev("x"), 2).alias("deviation"))
+    """A standard normal number for each row, from two uniform ones that depend on the row only."""
+    u, v = (S.uniform(F.lit(SEED), F.col("doc_id"), F.lit(k)) for k in "uv")
+    z = F.sqrt(-2 * F.ln(F.greatest(u, F.lit(1e-300)))) * F.cos(2 * F.pi() * v)
+    return table(spark, folder, "documents").select("doc_id", F.round(z, 6).alias("z"))
 
 
 @query("mth_8_bisection", "select (min(length(text)))::bigint as least from (select text, row_number() over (order by length(text)) as r, count(*) over () as n from documents where text is not null) where r >= n * 0.5")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import pyarrow as pa
@@ -9,13 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import checkpoints as C
 from quern.operators import packing as P
 from quern.operators import schedule as S
 from quern.plans.catalog import query
 from quern.plans.packing import _PACK_SQL, packed, sample_rows, schedule
 from quern.plans.schedule import _STAGE_SQL, stage_table
 from quern.plans.shards import _CORPUS_SQL, hashed_corpus
-from quern.runtime import materialise, ship, spread, table
+from quern.runtime import materialise, shared_folder, ship, spread, table
 
 REJECT_BELOW, DEFER_ABOVE = 4.0, 7.5
 PROTECTED = ("indic",)
@@ -175,19 +177,28 @@ def shard_loss(spark, folder):
     return rows.filter("useful > 0")
 
 
-@query("agg_8_shard_score", _PACK_SQL + " select shard_id, round(sum(length(document_id || lane) * (w_end - w_start)) / sum(w_end - w_start)::double, 6) as score from seg2 where lane <> 'code' group by 1")
+@query("agg_8_shard_score", _PACK_SQL + ", " + _SCORE_SQL[_SCORE_SQL.index("ch as (") : _SCORE_SQL.index("raw as (")].rstrip().rstrip(",") + " select shard_id, round(sum(score * (w_end - w_start)) / sum(w_end - w_start)::double, 6) as score from seg2 join score using (document_id) group by 1")
 def shard_score(spark, folder):
-    score = F.when(F.col("lane") != "code", F.length(F.concat("document_id", "lane")))  # NULL: no score on record
+    """Mean score of the served tokens of each shard; documents without a score don't count."""
     n = F.col("w_end") - F.col("w_start")
-    rows = packed(spark, folder).withColumn("score", score).filter("score is not null")
-    return rows.groupBy("shard_id").agg(F.round(F.sum(F.col("score") * n) / F.sum(n), 6).alias("score"))
+    known = scored(spark, folder).filter("score is not null").select("document_id", "score")
+    return packed(spark, folder).join(known, "document_id").groupBy("shard_id").agg(F.round(F.sum(F.col("score") * n) / F.sum(n), 6).alias("score"))
 
 
-@query("led_2_learning_entries", _PACK_SQL + " , a as (select step, shard_id, sum(w_end - w_start) as n, sum(useful) as u from seg2 group by all) select step, shard_id, n::bigint as served, count(*) over (partition by shard_id order by step)::bigint as pass, case when u % 3 = 0 then 'useful' when u % 3 = 1 then 'harmful' else 'neutral' end as usefulness from a")
+@query(
+    "led_2_learning_entries",
+    _PACK_SQL
+    + """, le as (select step, shard_id, sum(w_end - w_start)::bigint as served, sum((s_end * (s_end - 1) - s_start * (s_start - 1)) / 2.0::double) / sum(w_end - w_start) as loss from seg2 group by all having sum(useful) > 0),
+lf as (select *, count(*) over (partition by shard_id order by step)::bigint as pass, loss - lag(loss) over (partition by shard_id order by step) as delta from le)
+select step, shard_id, served, pass, round(loss, 6) as avg_loss, round(delta, 6) as delta, case when delta <= -0.001 then 'useful' when delta >= 0.001 then 'harmful' when delta is not null then 'neutral' end as usefulness from lf""",
+)
 def learning_entries(spark, folder):
-    rows = packed(spark, folder).groupBy("step", "shard_id").agg(F.sum(F.col("w_end") - F.col("w_start")).alias("served"), F.sum(P.useful_tokens()).alias("u"))
-    delta = F.when(F.col("u") % 3 == 0, -0.5).when(F.col("u") % 3 == 1, 0.5).otherwise(0.0)
-    return rows.select("step", "shard_id", "served", F.count("*").over(Window.partitionBy("shard_id").orderBy("step")).alias("pass"), usefulness(delta).alias("usefulness"))
+    """An entry a shard and step: its loss, the change since the shard's pass before (none at first) and what it says."""
+    n = F.sum(F.col("w_end") - F.col("w_start"))
+    rows = packed(spark, folder).groupBy("step", "shard_id").agg(n.alias("served"), (F.sum(F.expr(_LOSS)) / n).alias("loss"), F.sum(P.useful_tokens()).alias("useful")).filter("useful > 0")
+    passes = Window.partitionBy("shard_id").orderBy("step")
+    marked = rows.withColumn("pass", F.count("*").over(passes)).withColumn("delta", F.col("loss") - F.lag("loss").over(passes))
+    return marked.select("step", "shard_id", "served", "pass", F.round("loss", 6).alias("avg_loss"), F.round("delta", 6).alias("delta"), usefulness(F.col("delta")).alias("usefulness"))
 
 
 @query("jon_11_before_after", "with b as (select shard_id, avg(avg_token_loss) as loss from learning_ledger where global_step < 500 group by 1), a as (select shard_id, avg(avg_token_loss) as loss from learning_ledger where global_step >= 500 group by 1) select shard_id, round(a.loss - b.loss, 6) as delta from a join b using (shard_id)")
@@ -225,14 +236,15 @@ def known_shards(spark, folder):
 
 # --- branches ----------------------------------------------------------------------------------------------------------------------
 
-_EDGE_SQL = """edge as (select run_id, branch_id, case branch_id when 'fork-a' then 'main' when 'fork-b' then 'fork-a' end as parent, case when branch_id <> 'main' then min(global_step) end as fork_step from learning_ledger group by run_id, branch_id)"""
+_EDGE_SQL = """edge as (select run_id, branch_id, lag(branch_id) over w as parent, case when lag(branch_id) over w is not null then first end as fork_step from (select run_id, branch_id, min(global_step) as first from learning_ledger group by run_id, branch_id) window w as (partition by run_id order by first, branch_id))"""
 
 
 def edges(spark, folder) -> DataFrame:
-    """Branches with their parents; a fork starts at its first step."""
-    parent = F.when(F.col("branch_id") == "fork-a", "main").when(F.col("branch_id") == "fork-b", "fork-a")
+    """Branches with their parents, as the ledger tells them: a run's first branch is its root, and each later one starts
+    at its first step from the branch that started before it."""
     rows = table(spark, folder, "learning_ledger").groupBy("run_id", "branch_id").agg(F.min("global_step").alias("first"))
-    return rows.select("run_id", "branch_id", parent.alias("parent"), F.when(F.col("branch_id") != "main", F.col("first")).alias("fork_step"))
+    parent = F.lag("branch_id").over(Window.partitionBy("run_id").orderBy("first", "branch_id"))
+    return rows.withColumn("parent", parent).select("run_id", "branch_id", "parent", F.when(F.col("parent").isNotNull(), F.col("first")).alias("fork_step"))
 
 
 def lineage(edge: DataFrame, depth: int = 64) -> DataFrame:
@@ -380,3 +392,26 @@ def timings(spark, folder) -> DataFrame:
 def ids(spark, folder):
     rows = packed(spark, folder).groupBy("step", "slot").agg(F.min("shard_id").alias("s"), F.min("document_id").alias("d"))
     return rows.select(F.format_string("ps-%d-%d", "step", "slot").alias("sample_id"), F.format_string("opus-%s-%s", "s", "d").alias("candidate_id"))
+
+
+# --- checkpoints and forks ---------------------------------------------------------------------------------------------------------
+
+
+@query("rpl_5_checkpoints", "select run_id, branch_id, max(global_step) as global_step, null::varchar as parent_branch_id, null::int as fork_step from learning_ledger group by all")
+def stored_checkpoints(spark, folder):
+    """Checkpoint metadata of each branch's last step, saved and restored (tensors are no data of this engine)."""
+    store = C.Checkpoints(spark, f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}")
+    last = table(spark, folder, "learning_ledger").groupBy("run_id", "branch_id").agg(F.max("global_step").alias("global_step"))
+    store.save(last)
+    store.save(last)  # a second time is no write
+    return store.table()
+
+
+@query("frk_1_forks", "select run_id, 'trial' as branch_id, min(global_step) as earliest, max(global_step) as latest, branch_id as parent_branch_id from learning_ledger where branch_id = 'main' group by run_id, branch_id having max(global_step) = min(global_step) union all select run_id, 'trial', max(global_step), max(global_step), 'main' from learning_ledger where branch_id = 'main' group by run_id having max(global_step) <> min(global_step)")
+def forks(spark, folder):
+    """A new branch of each run from the last checkpoint of ``main``; its first checkpoint carries the lineage."""
+    store = C.Checkpoints(spark, f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}")
+    last = table(spark, folder, "learning_ledger").filter("branch_id = 'main'").groupBy("run_id", "branch_id").agg(F.max("global_step").alias("global_step"))
+    store.save(last)
+    store.fork(last.withColumnRenamed("global_step", "fork_step"), "trial")
+    return store.ends().filter("parent_branch_id is not null")

@@ -94,7 +94,7 @@ def stages_of_lane(spark, folder):
 
 @query("prj_12_positive_weights", "select distinct run_id, stage, k as lane, mixture[k] as weight from (select run_id, stage, mixture, unnest(map_keys(mixture)) as k from mixture_stages) where mixture[k] > 0")
 def positive_weights(spark, folder):
-    return table(spark, folder, "mixture_stages").select("run_id", "stage", F.explode("mixture").alias("lane", "weight")).filter("weight > 0").distinct()
+    return S.positive(table(spark, folder, "mixture_stages").select("run_id", "stage", F.explode("mixture").alias("lane", "weight"))).distinct()
 
 
 _STEP_SQL = (
@@ -165,3 +165,22 @@ def step_to_stage(spark, folder):
 def step_at_fraction(spark, folder):
     at = F.col("step_start") + F.floor((F.col("step_end") - F.col("step_start")) * 0.5)
     return stage_table(table(spark, folder, "mixture_stages")).select("run_id", "stage", F.greatest("step_start", F.least(at, F.col("step_end") - 1)).alias("step"))
+
+
+@query("jsn_2_schedule", _COMPILED_SQL + " select run_id, stage, lane, round(effective_weight, 6) as effective_weight from compiled")
+def schedule_of_json(spark, folder):
+    """Schedules written as JSON, one text a stage, and rebuilt from it."""
+    entry = F.struct("lane", "effective_weight")
+    texts = compiled(spark, folder)[1].groupBy("run_id", "stage").agg(F.to_json(F.collect_list(entry)).alias("plan"))
+    return texts.select("run_id", "stage", F.inline(F.from_json("plan", "array<struct<lane: string, effective_weight: double>>"))).select("run_id", "stage", "lane", F.round("effective_weight", 6).alias("effective_weight"))
+
+
+@query("sup_26_recompiled", _COMPILED_SQL + " select stage, lane, status, round(eff, 3) as effective_tokens from compiled where run_id = (select min(run_id) from compiled where run_id not in (select run_id from compiled where status = 'impossible'))")
+def recompiled(spark, folder):
+    """The schedule of one run compiled by itself; a lane that can't be had raises."""
+    good = compiled(spark, folder)[1].groupBy("run_id").agg(F.max(F.col("status") == "impossible").alias("bad")).filter("not bad").agg(F.min("run_id")).first()[0]
+    own = F.col("run_id") == good
+    stages = stage_table(table(spark, folder, "mixture_stages").filter(own))
+    lanes = S.compile_lanes(lane_rows(stages, supply(table(spark, folder, "lane_plans").filter(own))))
+    S.require_supply(lanes)
+    return lanes.select("stage", "lane", "status", F.round("effective_tokens", 3).alias("effective_tokens"))

@@ -9,7 +9,7 @@ from quern.functions import text as T
 from quern.operators import order
 from quern.plans.catalog import query
 from quern.plans.text import _DOCS_SQL, numbered
-from quern.runtime import table
+from quern.runtime import materialise, table
 
 BUDGET = 100_000
 
@@ -190,11 +190,35 @@ def spans(spark, folder):
     return shard_spans(spark, folder).select("shard_id", "document_id", "lane", "start_token", "end_token", "response_start_token")
 
 
-@query("snk_5_manifests", _BINS_SQL + " select shard_id, min(lane) as capability_lane, max(end_token)::bigint as token_count, count(*) as document_count, min(document_id) as first_document from s group by 1")
+#: The end token of byte mode, after the 256 bytes.
+END = 256
+
+
+def shard_files(spark, folder) -> DataFrame:
+    """The shards themselves as written: ``shard_id, capability_lane, data, spans``; ``data`` has two bytes a token.
+
+    A shard holds at most BUDGET tokens (or one document), so its texts are one row; they move once, to their shard.
+    """
+    texts = table(spark, folder, "documents").select("doc_id", F.regexp_replace(F.hex(F.encode(T.strip(F.col("text")), "UTF-8")), "(..)", "$100").alias("hex"))
+    entry = F.struct("start_token", F.concat("hex", F.lit(f"{END % 256:02X}{END // 256:02X}")).alias("hex"), "document_id", "end_token", "response_start_token")
+    rows = shard_spans(spark, folder).join(texts, "doc_id").groupBy("shard_id", F.col("lane").alias("capability_lane")).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    data = F.unhex(F.array_join(F.transform("e", lambda x: x["hex"]), ""))
+    spans_ = F.transform("e", lambda x: F.struct(x["document_id"].alias("document_id"), x["start_token"].alias("start_token"), x["end_token"].alias("end_token"), x["response_start_token"].alias("response_start_token")))
+    return rows.select("shard_id", "capability_lane", data.alias("data"), spans_.alias("document_spans"))
+
+
+@query(
+    "snk_5_manifests",
+    _BINS_SQL
+    + f", bytes as (select shard_id, s.lane as lane, s.document_id, end_token, regexp_replace(hex(encode(corpus.text)), '(..)', '\\100', 'g') || '{END % 256:02X}{END // 256:02X}' as data, start_token from s join corpus on corpus.doc_id = s.doc_id) select shard_id, min(lane) as capability_lane, 'sha256:' || sha256(unhex(string_agg(data, '' order by start_token))) as content_hash, max(end_token)::bigint as token_count, count(*) as document_count, min(document_id) as first_document from bytes group by 1",
+)
 def manifests(spark, folder):
-    """A manifest a shard; write with ``partitionBy('capability_lane')``."""
-    rows = shard_spans(spark, folder).groupBy("shard_id")
-    return rows.agg(F.min("lane").alias("capability_lane"), F.max("end_token").alias("token_count"), F.count("*").alias("document_count"), F.min("document_id").alias("first_document"))
+    """A manifest a shard, of the shards as read back from storage: the hash is that of the stored bytes."""
+    stored = materialise(shard_files(spark, folder), "shards")
+    last = F.aggregate("document_spans", F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, x["end_token"]))
+    names = F.array_min(F.transform("document_spans", lambda x: x["document_id"]))
+    digest = F.concat(F.lit("sha256:"), F.sha2("data", 256))
+    return stored.select("shard_id", "capability_lane", digest.alias("content_hash"), last.alias("token_count"), F.size("document_spans").cast("bigint").alias("document_count"), names.alias("first_document"))
 
 
 @query("agg_4_lane_tokens", "select capability_lane, sum(token_count)::bigint as tokens from (select distinct shard_id, capability_lane, token_count from shard_manifests) group by 1")

@@ -143,28 +143,41 @@ def clean_record(spark, folder):
     return clean_table(table(spark, folder, "documents")).drop("lang", "source", "text", "ghost_tokens").withColumn("script_purity", F.round("script_purity", 9))
 
 
+_GHOST_SQL = {name: f"regexp_extract_all(bare, '(?i){p}')" for name, p in T.ghost_patterns().items()}
+
+
 @query(
     "agg_2_normalize_report",
     _RECORD_SQL
-    + """select count(*) as n_docs, sum(raw_len)::bigint as raw_chars, sum(clean_len)::bigint as clean_chars, count_if(content_type = 'code')::bigint as code_docs,
-  sum(garbage_control_chars)::bigint as garbage_control_chars, sum(zero_width_noise_chars)::bigint as zero_width_noise_chars, sum(broken_utf_replacement_chars)::bigint as broken_utf_replacement_chars,
-  sum(zwnj_kept)::bigint as zwnj_kept, sum(zwj_kept)::bigint as zwj_kept, count_if(clean_len = 0)::bigint as empty_after_clean, count_if(dominant_script <> '')::bigint as with_script,
-  count_if(dominant_script <> '' and script_purity < 0.85)::bigint as low_purity, round(sum(case when dominant_script <> '' then script_purity end) / nullif(count_if(dominant_script <> ''), 0), 6) as avg_purity from record""",
+    + f""", g as (select {', '.join(f"sum(len({x}))::bigint as {name}" for name, x in _GHOST_SQL.items())} from bare)
+select count(*) as n_docs, sum(raw_len)::bigint as raw_chars, sum(clean_len)::bigint as clean_chars, sum(raw_len - clean_len)::bigint as chars_removed, count_if(content_type = 'code')::bigint as code_docs, count_if(content_type = 'prose')::bigint as prose_docs,
+  sum(garbage_control_chars)::bigint as garbage_control_chars, sum(zero_width_noise_chars)::bigint as zero_width_noise_chars, sum(broken_utf_replacement_chars)::bigint as broken_utf_replacement_chars, count_if(broken_utf_replacement_chars > 0)::bigint as docs_with_broken_utf,
+  sum(zwnj_kept)::bigint as zwnj_kept, sum(zwj_kept)::bigint as zwj_kept, count_if(trim(clean_text) = '')::bigint as empty_after_clean, count_if(dominant_script <> '')::bigint as with_script,
+  count_if(dominant_script <> '' and script_purity < 0.85)::bigint as low_purity, round(sum(case when dominant_script <> '' then script_purity end) / nullif(count_if(dominant_script <> ''), 0), 6) as avg_purity,
+  concat_ws(' ', {', '.join(f"'{name}=' || nullif(count_if(dominant_script = '{name}'), 0)" for name in T.SCRIPTS)}) as dominant_scripts,
+  (select concat_ws(' ', {', '.join(f"'{name}=' || nullif({name}, 0)" for name in _GHOST_SQL)}) from g) as ghosts from record""",
 )
 def normalize_report(spark, folder):
+    """Sums, counts, histograms (content types, dominant scripts, ghost tokens) and the mean purity, NULL if there is none."""
     done = clean_table(table(spark, folder, "documents"))
     found = F.col("dominant_script") != ""
     sums = ("garbage_control_chars", "zero_width_noise_chars", "broken_utf_replacement_chars", "zwnj_kept", "zwj_kept")
+    entry = lambda name, n: F.concat(F.lit(f"{name}="), F.nullif(n, F.lit(0)).cast("string"))
+    ghost = lambda name: F.coalesce(F.sum(F.try_element_at("ghost_tokens", F.lit(name))), F.lit(0))
     return done.agg(
         F.count("*").alias("n_docs"),
         F.sum("raw_len").alias("raw_chars"),
         F.sum("clean_len").alias("clean_chars"),
-        F.count_if(F.col("content_type") == "code").alias("code_docs"),
+        F.sum(F.col("raw_len") - F.col("clean_len")).alias("chars_removed"),
+        *[F.count_if(F.col("content_type") == kind).alias(f"{kind}_docs") for kind in ("code", "prose")],
         *[F.sum(c).alias(c) for c in sums],
-        F.count_if(F.col("clean_len") == 0).alias("empty_after_clean"),
+        F.count_if(F.col("broken_utf_replacement_chars") > 0).alias("docs_with_broken_utf"),
+        F.count_if(F.trim("text") == "").alias("empty_after_clean"),
         F.count_if(found).alias("with_script"),
         F.count_if(found & (F.col("script_purity") < 0.85)).alias("low_purity"),
         F.round(F.try_divide(F.sum(F.when(found, F.col("script_purity"))), F.count_if(found)), 6).alias("avg_purity"),
+        F.concat_ws(" ", *[entry(name, F.count_if(F.col("dominant_script") == name)) for name in T.SCRIPTS]).alias("dominant_scripts"),
+        F.concat_ws(" ", *[entry(name, ghost(name)) for name in _GHOST_SQL]).alias("ghosts"),
     )
 
 
@@ -173,7 +186,6 @@ def exact_duplicates(spark, folder):
     return clean_table(table(spark, folder, "documents")).groupBy("sha1").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
-_GHOST_SQL = {name: f"regexp_extract_all(bare, '(?i){p}')" for name, p in T.ghost_patterns().items()}
 _GHOST_ROWS = "with " + _CLEAN_SQL + ", found as (" + " union all ".join(f"select doc_id, '{name}' as pattern, {x} as matches from bare" for name, x in _GHOST_SQL.items()) + "), ghost as (select * from found where len(matches) > 0) "
 
 
@@ -266,7 +278,20 @@ def nfkc(spark, folder):
     return table(spark, folder, "documents").select("doc_id", T.nfkc("text").alias("value"))
 
 
-@query("str_4_unescaped", "select doc_id, replace(text, '&ndash;', '–') as value from documents")
+# HTML entities by name and what they stand for; the ampersand comes last.
+ENTITIES = {"ndash": "–", "mdash": "—", "hellip": "…", "nbsp": "\xa0", "eacute": "é", "egrave": "è", "agrave": "à", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "copy": "©", "euro": "€", "quot": '"', "#39": "''", "lt": "<", "gt": ">", "amp": "&"}
+_UNESCAPED_SQL = "text"
+for _name, _char in ENTITIES.items():
+    _UNESCAPED_SQL = f"replace({_UNESCAPED_SQL}, '&{_name};', '{_char}')"
+
+
+@query("str_1_repaired", "select doc_id, text as value from documents")
+def repaired(spark, folder):
+    """Texts as a repair library leaves them; unchanged where none is installed (the trained repair is in the subpackage)."""
+    return table(spark, folder, "documents").select("doc_id", T.repaired("text").alias("value"))
+
+
+@query("str_4_unescaped", f"select doc_id, {_UNESCAPED_SQL} as value from documents")
 def unescaped(spark, folder):
     return table(spark, folder, "documents").select("doc_id", T.unescape("text").alias("value"))
 

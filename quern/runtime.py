@@ -62,6 +62,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.environ.get("QUERN_LOCAL_SHARED") or tempfile.mkdtemp(prefix="quern-shared-")
         os.environ["QUERN_LOCAL_SHARED"] = folder
         folder = f"file://{folder}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Reader of each suffix.
@@ -22,15 +22,28 @@ def text_column(df: DataFrame, fields: list[str]) -> Column:
 
 
 def _identified(df: DataFrame, fields: list[str], id_field: str | None) -> DataFrame:
-    """``id, text``; without an id column the id is the file's name and the row's place in the file's partition order.
+    """``id, text``; without an id column, or where it is null, the id is the row's index in its file.
 
-    Rows of a file are numbered within its splits (by Spark's own row index where the format has one), never by a
-    sort of the whole input.
+    Indices are counted by blocks of a file (its own row index in Parquet), so no task reads a whole file, and are the
+    same however files are split. With several files their names go before the index.
     """
-    text = text_column(df, fields)
-    if id_field and id_field in df.columns:
-        return df.select(F.col(id_field).cast("string").alias("id"), text.alias("text"))
-    return df.select(F.concat_ws("#", F.element_at(F.split("_metadata.file_path", "/"), -1), F.monotonically_increasing_id().cast("string")).alias("id"), text.alias("text"))
+    text = text_column(df, fields).alias("text")
+    known = F.col(id_field).cast("string") if id_field and id_field in df.columns else F.lit(None).cast("string")
+    if id_field and id_field in df.columns and "_index" not in df.columns:
+        return df.select(known.alias("id"), text)
+    several = len(df.inputFiles()) > 1
+    name = F.element_at(F.split("_file", "/"), -1)
+    index = F.col("_index").cast("string")
+    return df.select(F.coalesce(known, F.concat_ws("#", name, index) if several else index).alias("id"), text)
+
+
+def indexed(raw: DataFrame) -> DataFrame:
+    """``raw`` rows of files with ``_file`` and ``_index``, their place in the file (blank lines count)."""
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_m"))
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(starts, ["_file", "_block"]).withColumn("_index", F.col("_start") + F.col("_m") - F.col("_first")).drop("_block", "_m", "_first", "_start")
 
 
 def load(spark: SparkSession, path: str, fields: list[str] = ("text",), id_field: str | None = "id", kind: str | None = None, text_mode: str = "lines", limit: int | None = None) -> DataFrame:
@@ -44,19 +57,26 @@ def load(spark: SparkSession, path: str, fields: list[str] = ("text",), id_field
         raise ValueError(f"no reader for {path}")
     fields = list(fields)
     if kind == "parquet":
-        rows = _identified(spark.read.parquet(path), fields, id_field)
+        raw = spark.read.parquet(path)
+        if id_field not in raw.columns:
+            raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_index"))
+        rows = _identified(raw, fields, id_field)
     elif kind == "csv":
-        rows = _identified(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path), fields, id_field)
+        rows = _identified(indexed(spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)), fields, id_field)
     elif kind == "jsonl":
-        rows = _identified(spark.read.json(path), fields, id_field)
+        schema = spark.read.json(path).schema
+        lines = indexed(spark.read.text(path)).filter(F.trim("value") != "")
+        rows = _identified(lines.select(F.from_json("value", schema).alias("r"), "_file", "_index").select("r.*", "_file", "_index"), fields, id_field)
     elif kind == "json":
         raw = spark.read.option("multiLine", True).json(path)
         if raw.columns == ["data"]:
-            raw = raw.select(F.explode("data").alias("r"), "_metadata").select("r.*", "_metadata")
+            raw = raw.select(F.posexplode("data").alias("_index", "r"), F.col("_metadata.file_path").alias("_file")).select("r.*", "_file", "_index")
+        else:
+            raw = indexed(raw)
         rows = _identified(raw, fields, id_field)
     elif kind == "text":
         raw = spark.read.text(path, wholetext=text_mode == "file")
-        rows = _identified(raw, ["value"], None)
+        rows = _identified(indexed(raw), ["value"], None)
         rows = rows.filter(F.trim("text") != "") if text_mode == "lines" else rows
     else:
         raise ValueError(f"unknown kind {kind}")

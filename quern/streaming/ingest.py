@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -18,8 +19,10 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, key: list[str])
         fresh = batch.dropDuplicates(key)
         try:
             stored = spark.read.parquet(path).select(*key)
-        except Exception:  # nothing was written yet
-            stored = None
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            stored = None  # nothing was written yet
         (fresh if stored is None else fresh.join(stored, key, "left_anti")).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -176,3 +176,136 @@ def test_freeze(tmp_path):
     (tmp_path / "schedule.json").write_text("{}")
     with pytest.raises(sinks.FrozenError):
         sinks.thaw(path)
+
+
+# --- packing by best fit, against a list -------------------------------------------------------------------------------------
+
+
+def best_fit_model(lengths, docs, seed, lane):
+    """Windows filled one after another from a list of what waits: (document, from, to) of each segment."""
+    import hashlib
+
+    epoch, pending, carry, out = 0, [], None, []
+    for length in lengths:
+        at, window = 0, []
+        while at < length:
+            if carry is None:
+                if not pending:
+                    pending = sorted(docs, key=lambda d: hashlib.sha256(f"{seed}:lane_sequence:{lane}:{epoch}:s:{d[0]}".encode()).hexdigest())
+                    epoch += 1
+                fits = [d for d in pending if d[2] - d[1] <= length - at]
+                carry = max(fits, key=lambda d: d[2] - d[1]) if fits else min(pending, key=lambda d: d[2] - d[1])
+                pending.remove(carry)
+            take = min(length - at, carry[2] - carry[1])
+            window.append((carry[0], carry[1], carry[1] + take))
+            at += take
+            carry = (carry[0], carry[1] + take, carry[2]) if carry[1] + take < carry[2] else None
+        out.append(window)
+    return out
+
+
+def packed_best(spark, lengths, docs, lane="code"):
+    from quern.operators import packing
+
+    wins = spark.createDataFrame([(k, 0, "st", lane, n) for k, n in enumerate(lengths)], "step bigint, slot int, stage string, lane string, sequence_length int")
+    pool = spark.createDataFrame([(lane, "s", d, a, b, None) for d, a, b in docs] + [("other", "s", "z", 0, 5, None)], "lane string, shard_id string, document_id string, start_token bigint, end_token bigint, response_start_token bigint")
+    rows = packing.best_fit_segments(wins, pool, "seed").orderBy("step", "w_start").collect()
+    assert all(b.w_start == a.w_end for a, b in zip(rows, rows[1:]) if a.step == b.step)
+    return [[(r.document_id, r.s_start, r.s_end) for r in rows if r.step == k] for k in range(len(lengths))]
+
+
+def test_best_fit_takes_the_tightest_document(spark):
+    docs = [("medium", 10, 16), ("small", 16, 20), ("exact", 0, 10)]
+    first, second = packed_best(spark, [10, 10], docs)
+    assert first == [("exact", 0, 10)] and second == [("medium", 10, 16), ("small", 16, 20)]
+    # nothing fits: the shortest is cut, and its rest comes first in the next window
+    assert packed_best(spark, [4, 4], [("a", 0, 9), ("b", 9, 15)]) == [[("b", 9, 13)], [("b", 13, 15), ("a", 0, 2)]]
+
+
+def test_best_fit_equals_a_list(spark):
+    import random
+
+    rng = random.Random(5)
+    for _ in range(3):
+        docs, at = [], 0
+        for k in range(rng.randint(1, 25)):
+            n = rng.randint(1, 40)
+            docs.append((f"d{k}", at, at + n))
+            at += n
+        lengths = [rng.choice((8, 16, 32)) for _ in range(40)]
+        assert packed_best(spark, lengths, docs) == best_fit_model(lengths, docs, "seed", "code")
+
+
+def test_replay_finds_an_altered_entry(spark):
+    from oracle import DATA
+
+    from quern.plans import packing as plans
+
+    frozen = plans.schedule(spark, DATA)
+    recorded = plans.stored_ledger(spark, DATA, frozen).filter("step < 3")
+    altered = recorded.withColumn("loss_mask_hash", F.when((F.col("step") == 1) & (F.col("mb") == 0), "sha256:0").otherwise(F.col("loss_mask_hash")))
+    again = plans.ledger(plans.sample_rows(spark, DATA, frozen=frozen, steps=(0, 3)))
+    wrong = [(r.step, r.mb, r.spans_match) for r in plans.compared(altered, again).collect() if not r.loss_mask_hash_match]
+    assert wrong == [(1, 0, True)]
+    # entries that can't be recomputed match in nothing
+    assert all(not r.spans_match for r in plans.compared(altered, again.filter("step > 2")).collect())
+
+
+def test_checkpoints_and_forks(spark, tmp_path):
+    from quern.operators.checkpoints import Checkpoints
+
+    store = Checkpoints(spark, f"{tmp_path}/checkpoints")
+    assert store.table().count() == 0
+    rows = spark.createDataFrame([("r", "main", 3, "x"), ("r", "main", 3, "x"), ("r", "main", 9, "x")], "run_id string, branch_id string, global_step int, extra string")
+    store.save(rows)
+    store.save(rows)
+    assert store.table().count() == 2
+    store.fork(spark.createDataFrame([("r", "main", 3)], "run_id string, branch_id string, fork_step int"), "trial")
+    assert store.restore("r", "trial", 3) == {"run_id": "r", "branch_id": "trial", "global_step": 3, "parent_branch_id": "main", "fork_step": 3}
+    with pytest.raises(LookupError):
+        store.restore("r", "main", 4)
+    with pytest.raises(LookupError):
+        store.fork(spark.createDataFrame([("r", "main", 4)], "run_id string, branch_id string, fork_step int"), "late")
+    with pytest.raises(ValueError):
+        store.fork(spark.createDataFrame([("r", "main", 3)], "run_id string, branch_id string, fork_step int"), "trial")
+
+
+def test_row_indices_are_those_of_lines(spark, tmp_path):
+    from quern.sources import files
+
+    path = tmp_path / "d.jsonl"
+    path.write_text('{"text": "a"}\n\n{"text": "b", "id": "x"}\n{"text": null}\n')
+    assert [(r.id, r.text) for r in files.load(spark, str(path)).orderBy("text").collect()] == [("3", ""), ("0", "a"), ("x", "b")]
+    lines = tmp_path / "d.txt"
+    lines.write_text("\n".join(f"line {k}" if k % 3 else "" for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.load(spark, str(lines)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 2000 and all(r.text == f"line {r.id}" for r in rows)
+
+
+def test_neighbours_in_blocks(spark):
+    import random
+
+    from quern.plans import vectors
+
+    rng = random.Random(2)
+    rows = [(k, [float(rng.randint(-2, 2)) for _ in range(3)]) for k in range(60)] + [(None, [1.0, 0.0, 0.0]), (99, None)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    queries = table.filter("vec_id % 10 = 0")
+    whole = sorted(tuple(r) for r in vectors.neighbours(table, queries, 4).collect())
+    assert whole == sorted(tuple(r) for r in vectors.neighbours(table, queries, 4, block=2).collect())
+    for query in range(0, 60, 10):
+        q = rows[query][1]
+        norm = lambda v: sum(x * x for x in v) ** 0.5
+        near = sorted((-round(sum(a * b for a, b in zip(q, v)) / (norm(q) * norm(v)) if norm(q) * norm(v) else 0.0, 6), k) for k, v in rows[:60] if k != query)[:4]
+        assert [(k, -s) for s, k in near] == [(r[1], r[2]) for r in sorted((w for w in whole if w[0] == query), key=lambda w: w[3])]
+
+
+def test_no_positive_weight_raises(spark):
+    with pytest.raises(ValueError):
+        schedule.positive(spark.createDataFrame([("a", 0.0)], "lane string, weight double"))
+    with pytest.raises(ValueError):
+        learning.ordered_by(spark.createDataFrame([("a",)], "k string"), "k", ["b"])
