@@ -112,12 +112,17 @@ def invert(text: str, chain: str) -> str | None:
     return None if _CONTROLS.search(text) else text
 
 
+def bigrams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the bigrams of bytes that hold one above 127, and their places."""
+    raw = raw.astype("u4")
+    pair = (raw[:-1] << np.uint32(8)) | raw[1:]
+    at = np.flatnonzero((raw[:-1] > 127) | (raw[1:] > 127))
+    return ((pair[at] * np.uint32(2654435761)) >> np.uint32(18)).astype("i4"), at
+
+
 def features(word: str) -> np.ndarray:
     """Hashed bigrams of the word's bytes, with its edges."""
-    raw = np.frombuffer(b"\x02" + word.encode("utf-8", "surrogatepass") + b"\x03", "u1").astype("u4")
-    pair = (raw[:-1] << np.uint32(8)) | raw[1:]
-    keep = (raw[:-1] > 127) | (raw[1:] > 127)
-    return ((pair[keep] * np.uint32(2654435761)) >> np.uint32(18)).astype("i4")
+    return bigrams(np.frombuffer(b"\x02" + word.encode("utf-8", "surrogatepass") + b"\x03", "u1"))[0]
 
 
 def bare(word: str) -> str:
@@ -146,12 +151,14 @@ class Classifier:
         words = [w for w in trained if not w.isascii()]
         words = sorted(words, key=lambda w: (-trained[w], w))[:SAMPLE_WORDS]
         table = np.full((BINS, len(CLASSES)), 0.05)
-        for word in words:
-            weight = 1 + np.log(trained[word])
-            for k, name in enumerate(CLASSES):
-                changed = word if name == CLEAN else garble(word, name)
-                if changed and (k == 0 or changed != word):
-                    np.add.at(table[:, k], features(changed), weight)
+        weights = 1 + np.log(np.array([trained[w] for w in words], "f8")) if words else np.zeros(0)
+        for k, name in enumerate(CLASSES):
+            changed = words if k == 0 else [garble(w, name) for w in words]
+            kept = [i for i, (x, w) in enumerate(zip(changed, words)) if x and (k == 0 or x != w)]
+            # all words of a class at once: edges of words are no features, as they are below 128
+            raw = [b"\x02" + changed[i].encode("utf-8", "surrogatepass") + b"\x03" for i in kept]
+            bins, at = bigrams(np.frombuffer(b"".join(raw), "u1"))
+            table[:, k] += np.bincount(bins, np.repeat(weights[kept], [len(x) for x in raw])[at], BINS)
         self.log = (np.log(table) - np.log(table.sum(axis=0))).astype("f4")
         seen_in = Counter(c for text in texts for c in set(text) if not c.isascii())
         self.alphabet = frozenset(c for c, n in seen_in.items() if n > 2)
