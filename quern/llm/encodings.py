@@ -207,7 +207,7 @@ class Detector:
                 before = invert(word, name)
                 if name.startswith("utf-8"):
                     # strict decoding into characters that undamaged records use
-                    proof = before is not None and len(before) < len(word) and all(c.isascii() or c in self.model.alphabet for c in before)
+                    proof = before is not None and self._proof(word, before)
                     if proof or (name == STRIPPED and not is_known):
                         found.append((name, margin, before, proof))
                 elif before is not None and letters:
@@ -223,6 +223,10 @@ class Detector:
             self.kept[word] = found
         return found
 
+    def _proof(self, word: str, before: str) -> bool:
+        """Whether ``before``, strictly decoded, is shorter and of characters that undamaged records use."""
+        return len(before) < len(word) and all(c.isascii() or c in self.model.alphabet for c in before)
+
     def informed(self, word: str, known: dict[str, int]) -> list[tuple[str, float, str | None, bool]]:
         """As ``word``, by numbers of the corpus."""
         other = Detector(self.model)
@@ -278,7 +282,9 @@ class Detector:
             for name, _, before, _ in self.word(word):
                 if name == chain and before is not None:
                     return before
-            return word
+            # the record's chain is known by its other words; what decodes strictly by it was UTF-8
+            before = invert(word, chain) if chain.startswith("utf-8") else None
+            return before if before is not None and self._proof(word, before) else word
 
         return _TOKEN.sub(back, text)
 
