@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -16,7 +18,7 @@ from quern.plans.schedule import _COMPILED_SQL, SEED, compiled
 from quern.plans.shards import _BINS_SQL, shard_spans
 from quern.plans.text import _CONTROL, _ZERO, _sql_count
 from quern.plans.vectors import dot
-from quern.runtime import materialise, table
+from quern.runtime import materialise, ship, spread, table
 
 TOY = (("doc-a", "web", "en", "The canal was closed."), ("doc-b", "code", "en", "import os"), ("doc-c", "news", "hi", "नदी का पानी"), ("doc-d", "instruction", "en", "Prompt Response: yes"))
 
@@ -45,13 +47,46 @@ def letters_by_script(spark, folder):
     return table(spark, folder, "documents").filter("text is not null").select("doc_id", count("Devanagari").alias("devanagari"), latin.alias("latin"))
 
 
-@query("win_22_aligned_frames", "with f as (select label, arg_min(embedding::double[], vec_id) as v from embeddings group by 1), p as (select label, v, lag(v) over (order by label) as before from f) select label, round(v[1] * case when before is null then 1 else sign(list_dot_product(v, before)) end, 6) as x from p")
+def principal_axes(vectors: DataFrame) -> DataFrame:
+    """``label, v``: the first principal axis of each label's vectors, by sums of products that tasks add up themselves."""
+    ship(vectors.sparkSession)
+    rows = vectors.filter("label is not null and embedding is not null").select(F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def add(batches):
+        held: dict = {}
+        for batch in batches:
+            for label, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x = np.array([1.0, *x])
+                held[label] = held.get(label, 0) + np.outer(x, x)  # with the number and the sums in its first row
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([m.ravel().tolist() for m in held.values()], pa.list_(pa.float64()))], ["label", "m"])
+
+    def axis(batches):
+        for batch in batches:
+            out = []
+            for m in batch.column(1).to_pylist():
+                m = np.array(m).reshape(int(len(m) ** 0.5), -1)
+                mean = m[0, 1:] / m[0, 0]
+                v = np.linalg.eigh(m[1:, 1:] / m[0, 0] - np.outer(mean, mean))[1][:, -1]
+                out.append((v * np.sign(v[np.abs(v).argmax()])).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], ["label", "v"])
+
+    sums = spread(rows).mapInArrow(add, "label bigint, m array<double>").select("label", F.posexplode("m").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x"))
+    whole = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("m"))
+    return whole.mapInArrow(axis, "label bigint, v array<double>")
+
+
+@query("win_22_aligned_frames")
 def aligned_frames(spark, folder):
-    frames = table(spark, folder, "embeddings").groupBy("label").agg(F.min_by(F.col("embedding").cast("array<double>"), "vec_id").alias("v"))  # a row a frame
-    before = F.lag("v").over(Window.orderBy("label"))
-    rows = frames.withColumn("before", before)
-    sign = F.when(F.col("before").isNull(), 1.0).otherwise(F.signum(dot(F.col("v"), F.col("before"))))
-    return rows.select("label", F.round(F.get("v", F.lit(0)) * sign, 6).alias("x"))
+    """First principal axis of each frame (label), turned so that it never points against that of the frame before."""
+    return aligned(principal_axes(table(spark, folder, "embeddings"))).select("label", F.posexplode("v").alias("place", "x")).withColumn("x", F.round("x", 6))
+
+
+def aligned(frames: DataFrame) -> DataFrame:
+    """Signs follow from the turns so far, as each axis is held against the one before in either direction."""
+    order = Window.orderBy("label")  # a row a frame
+    turn = F.when(dot(F.col("v"), F.lag("v").over(order)) < 0, -1).otherwise(1)
+    turned = F.sum(F.when(F.col("turn") < 0, 1).otherwise(0)).over(order)
+    return frames.withColumn("turn", turn).withColumn("sign", F.when(turned % 2 == 1, -1.0).otherwise(1.0)).select("label", F.transform("v", lambda x: x * F.col("sign")).alias("v"))
 
 
 @query("win_1_ordinals", "select doc_id, 'doc-' || lpad((row_number() over (order by doc_id) - 1)::varchar, 6, '0') as document_id from documents")

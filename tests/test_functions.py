@@ -309,3 +309,19 @@ def test_no_positive_weight_raises(spark):
         schedule.positive(spark.createDataFrame([("a", 0.0)], "lane string, weight double"))
     with pytest.raises(ValueError):
         learning.ordered_by(spark.createDataFrame([("a",)], "k string"), "k", ["b"])
+
+
+def test_axes_of_frames_are_aligned(spark):
+    import numpy as np
+
+    from quern.plans import extras
+
+    rng = np.random.default_rng(4)
+    data = {k: rng.normal(size=(40, 3)) * [5, 1, 0.2] @ np.linalg.qr(rng.normal(size=(3, 3)))[0] for k in range(6)}
+    rows = [(k, x.tolist()) for k, own in data.items() for x in own] + [(None, [1.0, 2.0, 3.0]), (2, None)]
+    table = spark.createDataFrame(rows, "label int, embedding array<double>").repartition(3)
+    got = {r.label: np.array(r.v) for r in extras.aligned(extras.principal_axes(table)).collect()}
+    assert sorted(got) == list(data)
+    for k, own in data.items():
+        axis = np.linalg.eigh(np.cov(own.T))[1][:, -1]
+        assert abs(abs(axis @ got[k]) - 1) < 1e-9 and (k == 0 or got[k] @ got[k - 1] >= 0)
